@@ -1,8 +1,8 @@
 """Token ids of whole texts with the ``tokenizers`` library, word by word.
 
 Both pre-tokenizers in use never join a character that isn't white space with white space after it, so a text's ids are those
-of its segments cut before a space, as long as no white space stands before that space. A task encodes a segment once and
-looks it up afterwards. A text with white space before a space is encoded as a whole.
+of its segments cut before a space or line break, as long as no two characters of white space stand together. A worker encodes a
+segment once and looks it up afterwards. A text with two characters of white space together is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments that a worker remembers before it starts afresh.
 REMEMBER = 600_000
@@ -22,7 +23,7 @@ END = 1
 #: Words that are encoded in one call.
 CALL = 1000
 MARKS = ".,;:!?"
-_RUN = re.compile(r"\s ")
+_RUN = re.compile(r"\s\s")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -47,26 +48,35 @@ class Encoder:
         for text, i in names.items():  # where a word preceded by a space begins, or a word ends
             self.starts[i], self.ends[i] = text.startswith("Ġ"), text.endswith("</w>")
         self.by_end = bool(self.ends.any())
+        self.line_ids = self._plain("\n")
+        self.line = int.from_bytes(self.line_ids[:4], "little")
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Letters only, each after a space; many in one call, told apart by how words begin or end."""
+    def _learn_words(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Letters only, each after a space or, for ``first``, a line break; many in one call, told apart by how words begin or end."""
         for i in range(0, len(words), CALL):
             part = words[i : i + CALL]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            at = np.append(0, np.flatnonzero(self.ends[ids]) + 1) if self.by_end else np.append(np.flatnonzero(self.starts[ids]), len(ids))
+            text = "\n".join(part) if known is self.first else " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            if self.by_end:
+                at = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            elif known is self.first:
+                breaks = ids == self.line
+                ids, at = ids[~breaks], np.concatenate([[0], np.flatnonzero(breaks) - np.arange(breaks.sum()), [len(ids) - breaks.sum()]])
+            else:
+                at = np.append(np.flatnonzero(self.starts[ids]), len(ids))
             if len(at) != len(part) + 1:
                 raise ValueError("the tokenizer's word marks don't fit its words")
             raw, at = ids.tobytes(), (at * 4).tolist()
             for w, s, e in zip(part, at, at[1:], strict=False):
-                self.rest[w] = raw[s:e]
+                known[w] = raw[s:e]
 
-    def _learn(self, segments: list[str]) -> None:
-        known, words, marked = self.rest, set(), []
+    def _learn(self, segments: list[str], known: dict[str, bytes]) -> None:
+        before, words, marked = "" if known is self.first else " ", set(), []
         for s in segments:
             if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
                 words.add(s)
@@ -75,8 +85,8 @@ class Encoder:
                 if w not in known:
                     words.add(w)
             else:
-                known[s] = self._plain(" " + s)
-        self._learn_words(list(words))
+                known[s] = self._plain(before + s)
+        self._learn_words(list(words), known)
         tails = {m: self._plain(m) for m in MARKS}
         for s, w, m in marked:
             known[s] = known[w] + tails[m]
@@ -85,16 +95,44 @@ class Encoder:
         if len(self.first) + len(self.rest) > REMEMBER:
             self.first.clear()
             self.rest.clear()
-        split = [None if not t or _RUN.search(t) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for x in split:
-            if x:
-                seen.update(x[1:])
-                if x[0] not in self.first:
-                    self.first[x[0]] = self._plain(x[0])
-        self._learn([s for s in seen if s not in self.rest])
-        get = self.rest.__getitem__
-        return [np.frombuffer(self.first[x[0]] + b"".join(map(get, x[1:])) if x else self._plain(t) if t else b"", "<u4") for x, t in zip(split, texts, strict=True)]
+        out = [np.empty(0, "<u4")] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and _RUN.search(t):
+                out[i] = np.frombuffer(self._plain(t), "<u4")
+            elif t:
+                plain.append(i)
+        if not plain:
+            return out
+        # every distinct segment is looked up once; the rest is arithmetic on arrays
+        split = pc.split_pattern(pa.array([texts[i].replace("\n", " \n ") for i in plain], pa.large_string()), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        each = split.flatten().dictionary_encode()
+        code, distinct = each.indices.to_numpy().astype(np.int64), each.dictionary.to_pylist()
+        breaks = np.append(False, code == (distinct.index("\n") if "\n" in distinct else -1))
+        head = breaks[:-1].copy()
+        head[bounds[:-1]] = True
+        head &= ~breaks[1:]
+        kinds = np.zeros((2, len(distinct)), bool)
+        kinds[0, code[~head]] = kinds[1, code[head]] = True
+        raw: list[bytes] = []
+        for known, used in ((self.rest, kinds[0]), (self.first, kinds[1])):
+            names = [distinct[i] for i in np.flatnonzero(used).tolist()]
+            self._learn([s for s in names if s not in known and s != "\n"], known)
+            raw += [known[s] if s != "\n" else self.line_ids for s in names]
+        place_of = np.cumsum(kinds.ravel()) - 1
+        code[head] += len(distinct)
+        code = place_of[code]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, place = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        flat = ids[np.repeat(place[code] - (end - n), n) + np.arange(end[-1])]
+        ends = np.append(0, end)[bounds]
+        for k, i in enumerate(plain):
+            out[i] = flat[ends[k] : ends[k + 1]]
+        return out
 
 
 def encoder(name: str) -> Encoder:

@@ -31,19 +31,28 @@ _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astyp
 ROWS = "part int, block long, tokens_before long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes."""
+def _slots(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Place of each token among the 2-bit slots (every text begins a control byte), and the number of control bytes."""
+    lengths = np.asarray(lengths, np.int64)
+    quads, end = -(-lengths // 4), np.cumsum(lengths)
+    first = 4 * (np.cumsum(quads) - quads)
+    return np.repeat(first - (end - lengths), lengths) + np.arange(int(lengths.sum())), int(quads.sum())
+
+
+def encode(ranks: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of the joined texts' ranks."""
     r = np.ascontiguousarray(ranks, "<u4")
     code = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    quad = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    quad[: len(r)] = code
-    control = (quad.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    at, quads = _slots(lengths)
+    slot = np.zeros(4 * quads, np.uint8)
+    slot[at] = code
+    control = (slot.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
 
 
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def decode(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """The joined texts' ranks."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_slots(lengths)[0]]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[at].astype(np.uint32)
@@ -101,34 +110,27 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [encode(rank_of[_ids(raw.as_buffer(), n)]) for n, raw in zip(b["n"].to_pylist(), b["ids"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n"], b["crc"], *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))], ["doc_id", "n", "crc", "control", "data"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, before, docs_, rows, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        names = ["part", "block", "tokens_before", "n_tokens", "doc_ids", "lengths", "control", "data"]
+        part, k, before, held_docs, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
         def flush() -> pa.RecordBatch:
-            # a document's ids start on a control byte of their own, so blocks are joined without decoding
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            row = [part, k, before, held, docs_, [r[0] for r in rows], b"".join(r[1] for r in rows), b"".join(r[2] for r in rows)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+            lengths = np.array([len(x) for x in held])
+            row = [part, k, before, size, held_docs, lengths.tolist(), *encode(rank_of[np.concatenate(held)], lengths)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in ROWS.split(", ")])
 
         for b in batches:
-            for doc, n, control, data in zip(*(b[c].to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
-                docs_.append(doc)
-                rows.append((n, control, data))
-                held += n
-                if held >= block:
+            for doc, n, raw in zip(b["doc_id"].to_pylist(), b["n"].to_pylist(), b["ids"], strict=True):
+                held_docs.append(doc)
+                held.append(_ids(raw.as_py(), n))
+                size += n
+                if size >= block:
                     yield flush()
-                    k, before, docs_, rows, held = k + 1, before + held, [], [], 0
-        if rows:
+                    k, before, held_docs, held, size = k + 1, before + size, [], [], 0
+        if held:
             yield flush()
 
-    coded = ids.mapInArrow(code, "doc_id long, n long, crc long, control binary, data binary")
-    sorted_ = coded.repartitionByRange(parts(spark), F.asc("doc_id"), "crc", "n").sortWithinPartitions("doc_id", "crc", "n")
+    sorted_ = ids.repartitionByRange(parts(spark), F.asc("doc_id"), "crc", "n").sortWithinPartitions("doc_id", "crc", "n")
     sorted_.mapInArrow(blocks, ROWS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
@@ -145,16 +147,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                at, c, d, out = base[r["part"]] + r["tokens_before"], 0, 0, ([], [], [], [])
-                control = np.frombuffer(r["control"], np.uint8)
-                for doc, n in zip(r["doc_ids"], r["lengths"], strict=True):
-                    quads = -(-n // 4)
-                    size = int(_LENGTHS[control[c : c + quads]].sum()) - (quads * 4 - n)
-                    ranks = decode(r["control"][c : c + quads], r["data"][d : d + size], n)
-                    for o, v in zip(out, (doc, at, n, ids[ranks].astype("<u4").tobytes()), strict=True):
-                        o.append(v)
-                    at, c, d = at + n, c + quads, d + size
-                yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                lengths = np.array(r["lengths"], np.int64)
+                end = np.cumsum(lengths)
+                raw = ids[decode(r["control"], r["data"], lengths)].astype("<u4").tobytes()
+                texts = [raw[e - s : e] for s, e in zip((4 * lengths).tolist(), (4 * end).tolist(), strict=True)]
+                start = base[r["part"]] + r["tokens_before"] + end - lengths
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return rows.select("part", "tokens_before", "doc_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

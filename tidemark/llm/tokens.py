@@ -91,10 +91,21 @@ class Encoder:
         for s, w, m in marked:
             known[s] = known[w] + tails[m]
 
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Lower case, as the tokenizer's own normalizer has it, where Python's rules are the same."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if "<|" in text else text.lower()
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) + len(self.rest) > REMEMBER:
             self.first.clear()
             self.rest.clear()
+        if self.by_end:
+            texts = [self._folded(t) for t in texts]
         out = [np.empty(0, "<u4")] * len(texts)
         plain = []
         for i, t in enumerate(texts):
@@ -113,7 +124,7 @@ class Encoder:
         breaks = np.append(False, code == (distinct.index("\n") if "\n" in distinct else -1))
         head = breaks[:-1].copy()
         head[bounds[:-1]] = True
-        head &= ~breaks[1:]
+        head &= ~breaks[1:] & (not self.by_end)  # without marks for spaces a word is the same at the head of a line
         kinds = np.zeros((2, len(distinct)), bool)
         kinds[0, code[~head]] = kinds[1, code[head]] = True
         raw: list[bytes] = []

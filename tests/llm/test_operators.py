@@ -100,7 +100,7 @@ def test_packing(docs, rows):
 @pytest.mark.parametrize("name", [packing.TOKENIZER, token_files.TOKENIZER])
 def test_encoder_equals_tokenizer(name):
     enc = Encoder(name)
-    odd = ["a  b", " x", "\n y z ", "é à\n\nb c", "a<|endoftext|> b", "<|ENDOFTEXT|> A", "MIßT ÀÉ µ ÿ", "Ab.\nCd, ef\nÉa", "it's John's 12 3", "a\xa0b", "日本 語", "İ i̇", "", "ΑΣ Σ."]
+    odd = ["a  b", " x", "\n y z ", "é à\n\nb c", "a<|endoftext|> b", "<|ENDOFTEXT|> A", "MIßT ÀÉ µ ÿ", "Ab.\nCd, ef\nÉa", "it's John's 12 3", "a\xa0b", "日本 語", "İ i̇", "", "ΑΣ Σ.", "ABC Ünï! Ÿ", "don't... (ok) a_b c__ d-- e-f", "ab<|cd", "a\u0085b c", "1,000. 2;", "naïve, Straße!!! STRASSE***"]
     for t, ids in zip(odd, enc.encode_all(odd), strict=True):
         assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 

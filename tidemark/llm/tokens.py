@@ -2,15 +2,15 @@
 
 Both pre-tokenizers in use never join a character that isn't white space with white space after it, so a text's ids are those
 of its segments cut before a space or line break, as long as no two characters of white space stand together. A worker encodes a
-segment once and looks it up afterwards. A text with two characters of white space together is encoded as a whole.
+segment once and looks it up afterwards. A text with two characters of white space together, or with the marks of a special token, is
+encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,9 @@ import pyarrow.compute as pc
 REMEMBER = 600_000
 #: The id appended to each document.
 END = 1
-#: Words that are encoded in one call.
-CALL = 1000
-MARKS = ".,;:!?"
-_RUN = re.compile(r"\s\s")
+#: Marks that follow a word and are cut from it as a piece of their own.
+MARKS = ".,;:!?*$%&#|<>()[]{}/+=@~^_-"
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -35,61 +34,61 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Ids of texts, without special tokens added, as bytes of 32-bit little-endian integers."""
+    """Ids of texts, without special tokens added, as 32-bit little-endian integers.
+
+    A segment of letters, with or without marks after it, is one word to both pre-tokenizers and goes to the library's model at once;
+    any other goes through the whole tokenizer. What a segment gave is row ``known[segment]`` of a table of ids.
+    """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        names = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(names.values()) + 1, bool)
-        self.ends = self.starts.copy()
-        for text, i in names.items():  # where a word preceded by a space begins, or a word ends
-            self.starts[i], self.ends[i] = text.startswith("Ġ"), text.endswith("</w>")
-        self.by_end = bool(self.ends.any())
-        self.line_ids = self._plain("\n")
-        self.line = int.from_bytes(self.line_ids[:4], "little")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn_words(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Letters only, each after a space or, for ``first``, a line break; many in one call, told apart by how words begin or end."""
-        for i in range(0, len(words), CALL):
-            part = words[i : i + CALL]
-            text = "\n".join(part) if known is self.first else " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            if self.by_end:
-                at = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            elif known is self.first:
-                breaks = ids == self.line
-                ids, at = ids[~breaks], np.concatenate([[0], np.flatnonzero(breaks) - np.arange(breaks.sum()), [len(ids) - breaks.sum()]])
-            else:
-                at = np.append(np.flatnonzero(self.starts[ids]), len(ids))
-            if len(at) != len(part) + 1:
-                raise ValueError("the tokenizer's word marks don't fit its words")
-            raw, at = ids.tobytes(), (at * 4).tolist()
-            for w, s, e in zip(part, at, at[1:], strict=False):
-                known[w] = raw[s:e]
-
-    def _learn(self, segments: list[str], known: dict[str, bytes]) -> None:
-        before, words, marked = "" if known is self.first else " ", set(), []
+        self.model = self.tokenizer.model
+        in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: in_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
+        self.space = in_bytes.pre_tokenize_str(" ")[0][0]
+        self.by_end = any(text.endswith("</w>") for text in self.tokenizer.get_vocab())  # white space counts for nothing
+        self._forget()
+
+    def _forget(self) -> None:
+        self.first: dict[str, int] = {}
+        self.rest: dict[str, int] = {}
+        self.tails: dict[str, list[int]] = {}
+        self.ids, self.size = np.empty(0, "<u4"), np.empty(0, np.int32)
+        line = self._plain("\n")
+        self._add(self.first, ["\n"], [line])
+        self._add(self.rest, ["\n"], [line])
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, known: dict[str, int], segments: list[str], ids: list[list[int]]) -> None:
+        known.update(zip(segments, range(len(self.size), len(self.size) + len(segments)), strict=True))
+        self.size = np.append(self.size, np.fromiter(map(len, ids), np.int32, len(ids)))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), "<u4"))
+        self.place = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32)
+
+    def _learn(self, segments: list[str], known: dict[str, int]) -> None:
+        at_head = known is self.first or self.by_end
+        before, mark, word, tails, out = "" if at_head else " ", "" if at_head else self.space, self.model.tokenize, self.tails, []
         for s in segments:
-            if s.isalpha() and (s.isascii() or max(s) <= "ÿ"):
-                words.add(s)
-            elif s[-1:] and s[-1] in MARKS and (w := s[:-1]).isalpha() and (w.isascii() or max(w) <= "ÿ"):
-                marked.append((s, w, s[-1]))
-                if w not in known:
-                    words.add(w)
-            else:
-                known[s] = self._plain(before + s)
-        self._learn_words(list(words), known)
-        tails = {m: self._plain(m) for m in MARKS}
-        for s, w, m in marked:
-            known[s] = known[w] + tails[m]
+            w = s.rstrip(MARKS)
+            if not w.isalpha() or not (w.isascii() or max(w) <= "ÿ"):
+                out.append(self._plain(before + s))
+                continue
+            if self.by_end:  # of a text that couldn't be folded as a whole
+                w = w.lower()
+            ids = [t.id for t in word(mark + (w if w.isascii() else w.translate(self.letters)))]
+            if len(w) < len(s):
+                m = s[len(w) :]
+                if m not in tails:
+                    tails[m] = self._plain(m)
+                ids += tails[m]
+            out.append(ids)
+        self._add(known, segments, out)
 
     @staticmethod
     def _folded(text: str) -> str:
@@ -100,17 +99,23 @@ class Encoder:
             return text
         return text if "<|" in text else text.lower()
 
+    def _rows(self, segments: list[str], known: dict[str, int]) -> np.ndarray:
+        new = [s for s in segments if s not in known]
+        if new:
+            self._learn(new, known)
+        return np.fromiter(map(known.__getitem__, segments), np.int32, len(segments))
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) + len(self.rest) > REMEMBER:
-            self.first.clear()
-            self.rest.clear()
+            self._forget()
         if self.by_end:
             texts = [self._folded(t) for t in texts]
         out = [np.empty(0, "<u4")] * len(texts)
+        apart = pc.match_substring_regex(pa.array(texts, pa.large_string()), f"[{SPACE}][{SPACE}]|<\\|").to_pylist()
         plain = []
         for i, t in enumerate(texts):
-            if t and _RUN.search(t):
-                out[i] = np.frombuffer(self._plain(t), "<u4")
+            if apart[i]:
+                out[i] = np.array(self._plain(t), "<u4")
             elif t:
                 plain.append(i)
         if not plain:
@@ -120,27 +125,26 @@ class Encoder:
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         each = split.flatten().dictionary_encode()
-        code, distinct = each.indices.to_numpy().astype(np.int64), each.dictionary.to_pylist()
-        breaks = np.append(False, code == (distinct.index("\n") if "\n" in distinct else -1))
-        head = breaks[:-1].copy()
-        head[bounds[:-1]] = True
-        head &= ~breaks[1:] & (not self.by_end)  # without marks for spaces a word is the same at the head of a line
-        kinds = np.zeros((2, len(distinct)), bool)
-        kinds[0, code[~head]] = kinds[1, code[head]] = True
-        raw: list[bytes] = []
-        for known, used in ((self.rest, kinds[0]), (self.first, kinds[1])):
-            names = [distinct[i] for i in np.flatnonzero(used).tolist()]
-            self._learn([s for s in names if s not in known and s != "\n"], known)
-            raw += [known[s] if s != "\n" else self.line_ids for s in names]
-        place_of = np.cumsum(kinds.ravel()) - 1
-        code[head] += len(distinct)
-        code = place_of[code]
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        ids, place = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
-        n = size[code]
-        end = np.cumsum(n)
-        flat = ids[np.repeat(place[code] - (end - n), n) + np.arange(end[-1])]
-        ends = np.append(0, end)[bounds]
+        code, distinct = each.indices.to_numpy(), each.dictionary.to_pylist()
+        if self.by_end:  # a word is the same at the head of a line
+            rows = self._rows(distinct, self.rest)[code]
+        else:
+            breaks = np.append(False, code == (distinct.index("\n") if "\n" in distinct else -1))
+            head = breaks[:-1].copy()
+            head[bounds[:-1]] = True
+            head &= ~breaks[1:]
+            rows = np.empty(len(code), np.int32)
+            for known, own in ((self.rest, ~head), (self.first, head)):
+                used = np.zeros(len(distinct), bool)
+                used[code[own]] = True
+                row_of = np.zeros(len(distinct), np.int32)
+                row_of[used] = self._rows([distinct[i] for i in np.flatnonzero(used).tolist()], known)
+                rows[own] = row_of[code[own]]
+        n = self.size[rows]
+        end = np.cumsum(n, dtype=np.int64)
+        at = np.repeat((self.place[rows] - (end - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        flat, ends = self.ids[at], np.append(0, end)[bounds]
         for k, i in enumerate(plain):
             out[i] = flat[ends[k] : ends[k + 1]]
         return out

@@ -132,3 +132,55 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+def normalize_document_text(text: Column) -> Column:
+    """Line ends as ``\\n``, runs of spaces and tabs as one space, lines stripped, one blank line at most in a row."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "[ \\t\u00a0]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, " ?\n ?", "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+
+
+def parse_model_json(raw: Column) -> Column:
+    """The JSON object in a model's answer as a variant: without code fences, or else between the outermost braces; null for anything else."""
+    bare = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*\z", "$1"))
+    whole = F.try_parse_json(bare)
+    found = F.when(whole.isNotNull(), whole).otherwise(F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))))
+    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+
+# Years of experience that fit a level.
+LEVEL_YEARS = {"intern": (0, 1), "junior": (0, 2), "mid": (2, 5), "senior": (5, 9), "staff": (8, 14), "principal": (10, 20), "director": (10, 25), "vp": (12, 30), "c_level": (15, 40)}
+
+
+def explain_match(r: dict[str, Column], j: dict[str, Column], similarity: Column) -> Column:
+    """Reasons for a match, in order; the similarity if there is none.
+
+    r: skills, role_families, seniority, years, locations, work_mode of the résumé; j: skills, role_family, seniority, location, work_mode of the job.
+    """
+    low = lambda col: F.filter(F.transform(col, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    wanted = low(j["skills"])
+    shared = F.filter(r["skills"], lambda s: (F.trim(s) != "") & F.array_contains(wanted, F.lower(F.trim(s))))
+    n, more = F.size(shared), F.size(shared) - 4
+    skills = F.concat(F.lit("You have "), n.cast("string"), F.when(n == 1, " matching skill: ").otherwise(" matching skills: "), F.array_join(F.slice(shared, 1, 4), ", "), F.when(more > 0, F.concat(F.lit(", +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+    fits = F.lit(False)
+    for name, (least, most) in LEVEL_YEARS.items():
+        fits = fits | ((j["seniority"] == name) & r["years"].between(least, most))
+    fits = fits | (~j["seniority"].isin(*LEVEL_YEARS) & r["years"].between(0, 100))
+    years = F.when(r["years"] == F.floor(r["years"]), F.floor(r["years"]).cast("string")).otherwise(r["years"].cast("string"))
+    label = F.initcap(F.replace(j["seniority"], F.lit("_"), F.lit(" ")))
+    level = F.when(F.coalesce(j["seniority"] == r["seniority"], F.lit(False)), F.concat(label, F.lit(" level matches your profile"))).when(
+        (F.length(j["seniority"]) > 0) & fits, F.concat(label, F.lit(" level matches your "), years, F.when(r["years"] == 1, " year").otherwise(" years"), F.lit(" of experience"))
+    )
+    place = F.trim(j["location"])
+    reasons = F.filter(
+        F.array(
+            F.when(n > 0, skills),
+            F.when((F.length(j["role_family"]) > 0) & F.array_contains(low(r["role_families"]), j["role_family"]), F.concat(F.lit("This "), j["role_family"], F.lit(" role matches your experience"))),
+            level,
+            F.when((place != "") & F.exists(low(r["locations"]), lambda x: F.lower(place).contains(x)), F.concat(F.lit("This role is in "), place, F.lit(", where you're based"))),
+            F.when((F.length(j["work_mode"]) > 0) & (j["work_mode"] == r["work_mode"]), F.concat(F.initcap(j["work_mode"]), F.lit(" work matches your preference"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    fallback = F.array(F.concat(F.lit("Your profile is a "), F.bround(similarity * 100).cast("long").cast("string"), F.lit("% semantic match for this role")))
+    return F.when(F.size(reasons) > 0, reasons).otherwise(fallback)

@@ -354,9 +354,16 @@ def sliding_limit(spark: SparkSession, d: str) -> DataFrame:
     return ST.sliding_limit(A.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 2, 86_400, "event_id").select("event_id", "user_id", "allowed")
 
 
+def _load() -> None:
+    """Imports the modules whose queries register themselves here."""
+    from tidemark.plans import ingest  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def stream_changes(fetches: DataFrame, key: str = "source_id", order: str = "fetched_at") -> DataFrame:
@@ -49,3 +50,29 @@ def sliding_limit(calls: DataFrame, key: str, ts: str, n: int, seconds: int, tie
 def stream_quota(calls: DataFrame, key: str, ts: str) -> DataFrame:
     """Calls per key and UTC day on a stream; a day closes an hour after its end."""
     return calls.withWatermark(ts, "1 hour").groupBy(F.window(ts, "1 day"), key).agg(F.count("*").alias("calls"))
+
+
+def throttle(calls: DataFrame, key: str, ts: str, tie: str, seconds: int = 5) -> DataFrame:
+    """Each call with ``allowed``: none of its key was allowed in the ``seconds`` before it.
+
+    A call that comes ``seconds`` or more after its key's previous one is always allowed, so calls are cut there into blocks that
+    don't depend on each other; a task reads its sorted blocks one call at a time and holds one time stamp.
+    """
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = calls.withColumn("__tm_t", micros).withColumn("__tm_new", F.coalesce(F.col("__tm_t") - F.lag("__tm_t").over(w) >= seconds * 1_000_000, F.lit(True)).cast("long"))
+    rows = rows.withColumn("__tm_block", F.sum("__tm_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__tm_new")
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, last = None, 0
+        for pdf in batches:
+            out = []
+            for k, b, t in zip(pdf[key], pdf["__tm_block"], pdf["__tm_t"], strict=True):
+                ok = (k, b) != block or t - last >= seconds * 1_000_000
+                block = (k, b)
+                last = t if ok else last
+                out.append(ok)
+            yield pdf.drop(columns=["__tm_block", "__tm_t"]).assign(allowed=out)
+
+    dealt = rows.repartition(key, "__tm_block").sortWithinPartitions(key, "__tm_block", ts, tie)
+    return dealt.mapInPandas(step, calls.select("*", F.lit(True).alias("allowed")).schema)

@@ -150,3 +150,25 @@ def url_policy(df: DataFrame, url: str) -> DataFrame:
     rows = rows.withColumn("__tm_v6_blocked", _blocked_v6("__tm_v6")).withColumn("reason", reason).withColumn("allowed", F.col("reason") == "ok")
     rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "#.*$", "")
     return rows.withColumn("url_norm", F.when(F.col("allowed"), F.concat(scheme, F.lit("://"), F.lower(netloc), rest))).drop("__tm_v6", "__tm_v6_blocked")
+
+
+# Hosts of boards whose payloads can be read, the payload's address for each, and last path parts that name no board.
+BOARD_HOSTS = {"greenhouse": r"(?:job-boards|boards)\.greenhouse\.io", "lever": r"jobs\.lever\.co", "ashby": r"jobs\.ashbyhq\.com"}
+BOARD_API = {"greenhouse": "https://boards-api.greenhouse.io/v1/boards/{}/jobs?content=true", "lever": "https://api.lever.co/v0/postings/{}?mode=json", "ashby": "https://api.ashbyhq.com/posting-api/job-board/{}?includeCompensation=true"}
+NO_BOARD = ("embed", "jobs", "job", "boards", "api", "v1", "static", "assets", "search")
+
+
+def discover_boards(pages: DataFrame) -> DataFrame:
+    """page_id, company_id, board_url, provider, api_url: the first readable board that a page of a company refers to.
+
+    pages: page_id, company_id, source_type, html. Pages without a company, pages that are boards' payloads themselves (source_type ats_api) and pages without a board give no row.
+    """
+    refs = F.regexp_extract_all("html", F.lit(f"(?i)(?:{'|'.join(BOARD_HOSTS.values())})/[A-Za-z0-9_-]+"), F.lit(0))
+    board = F.get(F.filter(refs, lambda r: ~F.lower(F.substring_index(r, "/", -1)).isin(*NO_BOARD)), F.lit(0))
+    of_company = F.col("company_id").isNotNull() & ~F.coalesce(F.col("source_type") == "ats_api", F.lit(False))
+    rows = pages.filter(of_company).select("page_id", "company_id", board.alias("board")).filter(F.col("board").isNotNull())
+    token, provider, api = F.substring_index("board", "/", -1), F.lit(None), F.lit(None)
+    for name, host in BOARD_HOSTS.items():
+        at, (before, after) = F.col("board").rlike(f"(?i)^{host}/"), BOARD_API[name].split("{}")
+        provider, api = F.when(at, name).otherwise(provider), F.when(at, F.concat(F.lit(before), token, F.lit(after))).otherwise(api)
+    return rows.select("page_id", "company_id", F.concat(F.lit("https://"), "board").alias("board_url"), provider.alias("provider"), api.alias("api_url"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import mentions as M
 from tidemark.operators import pages as P
 from tidemark.plans.queries import query
 from tidemark.sources import adapters as A
@@ -93,3 +94,51 @@ def explain_match(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def throttle(spark: SparkSession, d: str) -> DataFrame:
     return ST.throttle(A.table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86_400)
+
+
+_VENDOR = "CASE o_orderkey % 4 WHEN 0 THEN 'newsapi' WHEN 1 THEN 'gnews' WHEN 2 THEN 'google_jobs' ELSE 'serpapi' END"
+
+
+@query(f"""SELECT o_orderkey, {_VENDOR} AS vendor, CASE WHEN o_orderkey % 4 = 2 THEN 'C' || o_custkey || ' is hiring: ' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS title, CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE o_orderpriority END AS description,
+CASE WHEN o_orderkey % 4 = 2 THEN repeat('x', 2000) ELSE '' END AS content, 'https://x.example/' || o_orderkey AS url, CASE WHEN o_orderkey % 4 < 2 THEN CAST(epoch(o_orderdate) AS BIGINT) + 43200 END AS published_s,
+CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus WHEN 1 THEN 'gnews' WHEN 2 THEN 'google_jobs' ELSE 'serpapi' END AS source_name FROM orders""")
+def news_articles(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    title, url, empty, kind = key.alias("title"), F.concat(F.lit("https://x.example/"), key), F.lit(""), F.col("o_orderkey") % 4
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'12:00:00'Z'").alias("publishedAt")
+    a = F.struct(title, F.col("o_orderpriority").alias("description"), url.alias("url"), day, F.struct(F.col("o_orderstatus").alias("name")).alias("source"))
+    b = F.struct(title, url.alias("url"), day, F.struct(empty.alias("name")).alias("source"))
+    job = F.struct(title, F.col("o_orderpriority").alias("location"), F.lit("x" * 2001).alias("description"), F.array(F.struct(empty.alias("link"))).alias("apply_options"), url.alias("share_link"))
+    blank = F.struct(empty.alias("title"), F.lit(None).cast("string").alias("location"), empty.alias("description"), F.array(F.struct(empty.alias("link"))).alias("apply_options"), url.alias("share_link"))
+    web = F.struct(title, F.col("o_orderpriority").alias("snippet"), url.alias("link"), F.lit("3 hours ago").alias("date"))
+    payload = F.when(kind == 0, F.to_json(F.struct(F.array(a).alias("articles")))).when(kind == 1, F.to_json(F.struct(F.array(b).alias("articles")))).when(kind == 2, F.to_json(F.struct(F.array(blank, job).alias("jobs_results"))))
+    payload = payload.otherwise(F.to_json(F.struct(F.slice(F.array(web), 1, 0).alias("organic_results"), F.array(web).alias("news_results"))))
+    raw = A.table(spark, d, "orders").select("o_orderkey", F.expr(_VENDOR).alias("vendor"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("company"), payload.alias("payload"))
+    return V.normalize_articles(raw, "vendor", "payload", "company").withColumn("published_s", F.unix_seconds("published_at")).drop("company", "published_at")
+
+
+@query("""SELECT page_id, page_id AS company_id, CASE page_id % 3 WHEN 0 THEN 'https://job-boards.greenhouse.io/acme' || page_id ELSE 'https://Jobs.AshbyHQ.com/Co' || page_id END AS board_url, CASE page_id % 3 WHEN 0 THEN 'greenhouse' ELSE 'ashby' END AS provider,
+CASE page_id % 3 WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/acme' || page_id || '/jobs?content=true' ELSE 'https://api.ashbyhq.com/posting-api/job-board/Co' || page_id || '?includeCompensation=true' END AS api_url FROM pages WHERE page_id % 3 <> 1 AND page_id % 5 <> 0 AND page_id % 7 <> 0""")
+def discovered_boards(spark: SparkSession, d: str) -> DataFrame:
+    i, key = F.col("page_id"), F.col("page_id").cast("string")
+    ref = F.when(i % 3 == 0, F.concat(F.lit('<a href="https://jobs.lever.co/search"></a><iframe src="//job-boards.greenhouse.io/acme'), key, F.lit('?x=1">'))).when(i % 3 == 1, F.lit("jobs.lever.co/Embed")).otherwise(F.concat(F.lit("'Jobs.AshbyHQ.com/Co"), key, F.lit("/apply'")))
+    own = F.when(i % 5 != 0, i).alias("company_id"), F.when(i % 7 == 0, "ats_api").alias("source_type")
+    return P.discover_boards(A.table(spark, d, "pages").select("page_id", *own, F.concat(F.coalesce("html", F.lit("")), ref).alias("html")))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """Companies whose names are the opening words of the benchmark passages, with a two-word alias."""
+    w = F.split("text", r"\s+")
+    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(w, 1, 3), " ").alias("name"), F.array(F.array_join(F.slice(w, 4, 2), " ")).alias("aliases"))
+
+
+@query()
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    return M.find_mentions(A.table(spark, d, "documents"), _named(spark, d))
+
+
+@query()
+def routed_events(spark: SparkSession, d: str) -> DataFrame:
+    line = F.substring_index("text", "\n", 1)
+    events = A.table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), line.alias("title"), F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 2)").alias("context"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("company_id"))
+    return M.route_events(events, _named(spark, d)).select("event_id", "company_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,11 @@ def dedup_candidates(new: DataFrame, existing: DataFrame, days: int = 14) -> Dat
     return a.join(b, ["company_id", "event_type", "bucket"]).filter((F.col("id_b") < F.col("id_a")) & (gap <= days * 86_400_000_000)).select("id_a", "id_b", "company_id", "event_type")
 
 
+def same_titles(a: set, b: set, overlap: float) -> bool:
+    """Whether two titles, neither without tokens, share more than ``overlap`` of the longer one's."""
+    return bool(a and b) and len(a & b) / max(len(a), len(b)) > overlap
+
+
 def dedup_events(reports: DataFrame, days: int = 14, overlap: float = 0.6) -> DataFrame:
     """id, canonical_id: each report in arrival order joins the first leader of its company and type within ``days`` whose title overlaps, else leads.
 
@@ -36,7 +41,7 @@ def dedup_events(reports: DataFrame, days: int = 14, overlap: float = 0.6) -> Da
     """
     w = Window.partitionBy("company_id", "event_type").orderBy("observed_at", "id")
     t = F.unix_micros(F.col("observed_at").cast("timestamp"))
-    rows = reports.select("id", "company_id", "event_type", t.alias("t"), T.title_tokens(F.col("title")).alias("tokens"), F.coalesce(t - F.lag(t).over(w), F.lit(0)).alias("gap"))
+    rows = reports.select("id", "company_id", "event_type", t.alias("t"), T.title_tokens(F.coalesce("title", F.lit(""))).alias("tokens"), F.coalesce(t - F.lag(t).over(w), F.lit(0)).alias("gap"))
     rows = rows.withColumn("block", F.sum((F.col("gap") > days * 86_400_000_000).cast("long")).over(Window.partitionBy("company_id", "event_type").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +52,7 @@ def dedup_events(reports: DataFrame, days: int = 14, overlap: float = 0.6) -> Da
                 if k != key:
                     key, leaders = k, []
                 own = set(tokens)
-                same = (j for j, bt, other in leaders if abs(at - bt) <= days * 86_400_000_000 and own and other and len(own & other) / max(len(own), len(other)) > overlap)
+                same = (j for j, bt, other in leaders if abs(at - bt) <= days * 86_400_000_000 and same_titles(own, other, overlap))
                 out.append(next(same, i))
                 if out[-1] == i:
                     leaders.append((i, at, own))
@@ -105,3 +110,30 @@ def merge_evidence(reports: DataFrame, canonical: DataFrame) -> DataFrame:
     rows = reports.join(canonical, "id")
     first = rows.groupBy("canonical_id", "source_url").agg(F.min("id").alias("first"))
     return first.groupBy("canonical_id").agg(F.count_if(F.col("source_url").isNotNull()).alias("urls"), F.count("*").alias("source_count"))
+
+
+def embed_table(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float] | None]], dim: int, batch: int = 50) -> DataFrame:
+    """The table with ``embedding`` (array<float>, unit length): each distinct text goes once to ``embed``, in lists of at most ``batch``, and comes back to all its rows.
+
+    ``embed`` answers in order. A null or blank text, a failed call, an answer of another length than its list, and a null, zero or wrongly wide vector give null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), batch):
+                texts = pdf["__tm_text"].tolist()[i : i + batch]
+                try:
+                    found = list(embed(texts))
+                except Exception:  # noqa: BLE001  a provider's failure is a result here: null vectors
+                    found = []
+                found = found if len(found) == len(texts) else [None] * len(texts)
+                yield pd.DataFrame({"__tm_text": texts, "embedding": [_unit(v, dim) for v in found]})
+
+    texts = df.select(F.col(text).alias("__tm_text")).filter(F.trim(text) != "").distinct()
+    return df.join(texts.mapInPandas(run, "__tm_text string, embedding array<float>"), F.col(text) == F.col("__tm_text"), "left").drop("__tm_text")
+
+
+def _unit(values: list[float] | None, dim: int) -> np.ndarray | None:
+    v = np.asarray(values if values is not None else [], np.float64)
+    norm = np.linalg.norm(v)
+    return (v / norm).astype(np.float32) if len(v) == dim and np.isfinite(norm) and norm > 0 else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from tidemark.functions import text as T
+from tidemark.operators.matching import same_titles
+
 
 def stream_changes(fetches: DataFrame, key: str = "source_id", order: str = "fetched_at") -> DataFrame:
     """Emits a fetch only if its hash differs from the last one of its key; going back to an older content does emit.
@@ -33,46 +38,91 @@ def stream_changes(fetches: DataFrame, key: str = "source_id", order: str = "fet
 
 
 def sliding_limit(calls: DataFrame, key: str, ts: str, n: int, seconds: int, tie: str) -> DataFrame:
-    """Each call with ``allowed``: fewer than n allowed calls of its key in the ``seconds`` before it. Rejected calls don't count."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, held, out = pdf.sort_values([ts, tie]), [], []
-        for t in pdf[ts]:
-            held = [x for x in held if (t - x).total_seconds() < seconds]
-            out.append(len(held) < n)
-            if out[-1]:
-                held.append(t)
-        return pdf.assign(allowed=out)
-
-    return calls.groupBy(key).applyInPandas(step, calls.select("*", F.lit(True).alias("allowed")).schema)
-
-
-def stream_quota(calls: DataFrame, key: str, ts: str) -> DataFrame:
-    """Calls per key and UTC day on a stream; a day closes an hour after its end."""
-    return calls.withWatermark(ts, "1 hour").groupBy(F.window(ts, "1 day"), key).agg(F.count("*").alias("calls"))
-
+    """Each call with ``allowed``: fewer than n allowed calls of its key in the ``seconds`` before it. Rejected calls don't count.
 
-def throttle(calls: DataFrame, key: str, ts: str, tie: str, seconds: int = 5) -> DataFrame:
-    """Each call with ``allowed``: none of its key was allowed in the ``seconds`` before it.
-
-    A call that comes ``seconds`` or more after its key's previous one is always allowed, so calls are cut there into blocks that
-    don't depend on each other; a task reads its sorted blocks one call at a time and holds one time stamp.
+    A call that comes ``seconds`` or more after its key's previous one finds none before it, so calls are cut there into blocks that
+    don't depend on each other; a task reads its sorted blocks one call at a time and holds at most n time stamps.
     """
     w = Window.partitionBy(key).orderBy(ts, tie)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = calls.withColumn("__tm_t", micros).withColumn("__tm_new", F.coalesce(F.col("__tm_t") - F.lag("__tm_t").over(w) >= seconds * 1_000_000, F.lit(True)).cast("long"))
+    micros, span = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    rows = calls.withColumn("__tm_t", micros).withColumn("__tm_new", F.coalesce(F.col("__tm_t") - F.lag("__tm_t").over(w) >= span, F.lit(True)).cast("long"))
     rows = rows.withColumn("__tm_block", F.sum("__tm_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__tm_new")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, last = None, 0
+        block, held = None, deque()
         for pdf in batches:
             out = []
             for k, b, t in zip(pdf[key], pdf["__tm_block"], pdf["__tm_t"], strict=True):
-                ok = (k, b) != block or t - last >= seconds * 1_000_000
-                block = (k, b)
-                last = t if ok else last
-                out.append(ok)
+                if (k, b) != block:
+                    block, held = (k, b), deque()
+                out.append(_allow(held, t, n, span))
             yield pdf.drop(columns=["__tm_block", "__tm_t"]).assign(allowed=out)
 
     dealt = rows.repartition(key, "__tm_block").sortWithinPartitions(key, "__tm_block", ts, tie)
     return dealt.mapInPandas(step, calls.select("*", F.lit(True).alias("allowed")).schema)
+
+
+def _allow(held: deque, t: int, n: int, span: int) -> bool:
+    """Whether a call at t may pass; ``held`` keeps the allowed calls of the last ``span``."""
+    while held and t - held[0] >= span:
+        held.popleft()
+    if len(held) >= n:
+        return False
+    held.append(t)
+    return True
+
+
+def throttle(calls: DataFrame, key: str, ts: str, tie: str, seconds: int = 5) -> DataFrame:
+    """Each call with ``allowed``: none of its key was allowed in the ``seconds`` before it."""
+    return sliding_limit(calls, key, ts, 1, seconds, tie)
+
+
+def stream_throttle(calls: DataFrame, key: str, ts: str, tie: str, seconds: int = 5) -> DataFrame:
+    """The throttle on a stream: key, ts, tie and allowed. Calls are taken batch by batch, in time order within one; the state is a key's last allowed time.
+
+    key and tie are longs. A call older than the last allowed one is judged against it like a call at the same time.
+    """
+    schema = f"{key} long, {ts} timestamp, {tie} long, allowed boolean"
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = deque(state.get) if state.exists else deque()
+        rows = pd.concat(list(batches)).sort_values([ts, tie])
+        rows["allowed"] = [_allow(held, t.as_unit("us")._value, 1, seconds * 1_000_000) for t in rows[ts]]
+        state.update((held[-1],))
+        yield rows[[key, ts, tie, "allowed"]]
+
+    return calls.select(key, ts, tie).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_dedup(reports: DataFrame, days: int = 14, overlap: float = 0.6, late: str = "1 hour") -> DataFrame:
+    """company_id, event_type, id, canonical_id of each report on a stream, as ``dedup_events`` finds them when reports come in time order.
+
+    reports: id long, company_id long, event_type string, title string, observed_at timestamp. The state of a company and type holds its leaders; those more than
+    ``days`` behind the watermark match nothing that may still come and go, and with the last of them the state itself. Reports later than ``late`` go, as watermarks have it.
+    """
+    span = days * 86_400_000
+    rows = reports.withWatermark("observed_at", late).select("company_id", "event_type", "id", "observed_at", F.unix_millis("observed_at").alias("t"), T.title_tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark = state.getCurrentWatermarkMs()
+        leaders = [(i, t, set(w)) for i, t, w in json.loads(state.get[0])] if state.exists else []
+        leaders, out = [x for x in leaders if x[1] >= mark - span], []
+        pdf = pd.concat(list(batches)).sort_values(["t", "id"])
+        for i, t, tokens in zip(pdf["id"].tolist(), pdf["t"].tolist(), pdf["tokens"], strict=True):
+            own = set(tokens)
+            out.append(next((j for j, u, other in leaders if abs(t - u) <= span and same_titles(own, other, overlap)), i))
+            if out[-1] == i:
+                leaders.append((i, t, own))
+        state.update((json.dumps([(i, t, sorted(w)) for i, t, w in leaders]),))
+        state.setTimeoutTimestamp(max([mark, *(t for _, t, _ in leaders)]) + span + 1)
+        yield pd.DataFrame({"company_id": k[0], "event_type": k[1], "id": pdf["id"].to_numpy(), "canonical_id": out})
+
+    return rows.groupBy("company_id", "event_type").applyInPandasWithState(step, "company_id long, event_type string, id long, canonical_id long", "leaders string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_quota(calls: DataFrame, key: str, ts: str) -> DataFrame:
+    """Calls per key and UTC day on a stream; a day closes an hour after its end."""
+    return calls.withWatermark(ts, "1 hour").groupBy(F.window(ts, "1 day"), key).agg(F.count("*").alias("calls"))

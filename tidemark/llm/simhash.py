@@ -216,9 +216,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents' own columns; of each class one row stays: the least doc_id (nulls last), of equal ids the least text hash."""
+    """The documents' own columns; of each class one row stays, as ``keep_first`` says."""
+    return keep_first(docs, classes(docs, size, max_bits))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each class in ``rows`` (doc_id, th, root) one document stays: the least doc_id (nulls last), of equal ids the least text hash."""
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
-    same = classes(docs, size, max_bits).groupBy("root", "doc_id", "th").count()
+    same = rows.groupBy("root", "doc_id", "th").count()
     first = materialise(same.groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "count"), order).alias("r")).select("r.*"), "firsts")
     keys = first.select(F.col("doc_id").alias("__tm_id"), F.col("th").alias("__tm_th"))
     text = F.coalesce(docs["text"], F.lit(""))

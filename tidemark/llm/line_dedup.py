@@ -4,6 +4,7 @@ Each document gives its distinct line keys once. Their 128-bit hashes are range-
 secondary sort key, so a key in a third of all documents is spread over many partitions; each partition is one sorted
 stream that folds a key to its first document and a count before the counts meet. Lines of frequent keys come back as
 sparse bitmaps, one 64-bit word for each 64 lines, with only the words that drop something; texts join these by id.
+With ``keep_first`` the first line of each frequent key (least doc_id, nulls last, then least text hash, then position) stays.
 
 Defined results: null or empty text is one empty line; a line's key is the line stripped of ASCII white space with A-Z
 lower-cased; keys under ``min_chars`` code points never count; repeated rows count as documents of their own and get
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii, parts
+from .common import BLANKS, lower_ascii, materialise, parts
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -33,27 +34,48 @@ def _hashed(k: Column) -> list[Column]:
     return [F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2")]
 
 
-def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, n_docs, first_doc of the keys found in at least min_docs documents."""
-    firsts = docs.select("doc_id", F.explode(F.array_distinct(F.transform(lines(F.col("text")), key))).alias("k")).filter(F.length("k") >= min_chars)
-    dealt = firsts.select(*_hashed(F.col("k")), "doc_id").repartitionByRange(parts(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
-    return dealt.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, rank: Column | None = None) -> DataFrame:
+    """h1, h2, n_docs, first_doc (least doc_id, or least rank of doc_id and th) of the keys found in at least min_docs documents."""
+    own = ["doc_id"] if rank is None else ["doc_id", F.xxhash64("text").alias("th")]
+    firsts = docs.select(*own, F.explode(F.array_distinct(F.transform(lines(F.col("text")), key))).alias("k")).filter(F.length("k") >= min_chars)
+    dealt = firsts.select(*_hashed(F.col("k")), *firsts.columns[:-1]).repartitionByRange(parts(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
+    return dealt.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc_id" if rank is None else rank).alias("first_doc")).filter(F.col("n_docs") >= min_docs)
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _each(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, th, pos, h1, h2 of each line whose key counts."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    return each.select("doc_id", "th", "pos", F.length(key(F.col("line"))).alias("n"), *_hashed(key(F.col("line")))).filter(F.col("n") >= min_chars)
+
+
+def first_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, f_id, f_th, f_pos: the first line of each frequent key; null ids come last. Only first documents are cut again."""
+    base = docs.select("doc_id", "text")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    frequent = materialise(frequent_keys(base, min_docs, min_chars, rank), "frequent").select("h1", "h2", F.col("first_doc.doc_id").alias("f_id"), F.col("first_doc.th").alias("f_th"))
+    of = frequent.select("f_id", "f_th").distinct()
+    firsts = base.join(of, base["doc_id"].eqNullSafe(of["f_id"]) & (F.xxhash64(base["text"]) == of["f_th"]), "left_semi")
+    own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))
+    return _each(firsts, min_chars).join(frequent, ["h1", "h2"]).filter(own).groupBy("h1", "h2").agg(F.first("f_id").alias("f_id"), F.first("f_th").alias("f_th"), F.min("pos").alias("f_pos"))
+
+
+def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), words map<int,long>: bit i of word w is 1 if line 64 w + i goes; documents that lose nothing have no row."""
     base = docs.select("doc_id", "text")
-    each = base.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
-    each = each.select("doc_id", "th", "pos", F.length(key(F.col("line"))).alias("n"), *_hashed(key(F.col("line")))).filter(F.col("n") >= min_chars)
-    gone = each.join(frequent_keys(base, min_docs, min_chars).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    each = _each(base, min_chars)
+    if keep_first:
+        first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos"))
+        gone = each.join(materialise(first_lines(base, min_docs, min_chars), "first_lines"), ["h1", "h2"]).filter(~first)
+    else:
+        gone = each.join(frequent_keys(base, min_docs, min_chars).select("h1", "h2"), ["h1", "h2"], "left_semi")
     bit = F.expr("shiftleft(1L, pos % 64)")
     word = gone.groupBy("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("w")).agg(F.bit_or(bit).alias("bits"))
     return word.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("words"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """The documents with ``__tm_kept`` (text of the other lines, joined by \\n), ``__tm_lines``, ``__tm_dropped`` added."""
-    maps = drop_bitmaps(docs, min_docs, min_chars).select(F.col("doc_id").alias("__tm_id"), F.col("th").alias("__tm_th"), F.col("words").alias("__tm_words"))
+    maps = drop_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("__tm_id"), F.col("th").alias("__tm_th"), F.col("words").alias("__tm_words"))
     both = docs.join(maps, docs["doc_id"].eqNullSafe(maps["__tm_id"]) & (F.xxhash64(docs["text"]) == maps["__tm_th"]), "left")
     each = lines(F.col("text"))
     dense = F.transform(F.sequence(F.lit(0), F.expr("cast((__tm_lines - 1) div 64 as int)")), lambda w: F.coalesce(F.try_element_at(F.col("__tm_words"), w), F.lit(0).cast("long")))
@@ -64,8 +86,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     return both.withColumn("__tm_kept", kept).withColumn("__tm_dropped", dropped).drop("__tm_id", "__tm_th", "__tm_words", "__tm_dense")
 
 
-def apply(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def apply(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """The documents' own columns with text (and n_chars, if there) as they are after dropping; other rows and columns unchanged."""
-    out = line_dedup(docs, min_docs, min_chars)
+    out = line_dedup(docs, min_docs, min_chars, keep_first)
     text = F.when(F.col("__tm_dropped") > 0, F.col("__tm_kept")).otherwise(F.col("text"))
     return out.select(*[(text.alias(c) if c == "text" else F.when(F.col("__tm_dropped") > 0, F.length("__tm_kept")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])

@@ -1,7 +1,7 @@
-"""Removal of repeated substrings by bucket-pointer refinement of sampled suffixes.
+"""Removal of repeated substrings by anchors and buckets of equal bytes; exact, but not bucket-pointer refinement: no suffixes are sorted.
 
 A window is ``LENGTH`` bytes. Each has one anchor, the place of its least q-gram hash, so equal windows have equal anchors in
-equal places and only anchors (about one byte in 80) are suffixes to sort. Neighbouring windows with one anchor are a run. The
+equal places and only anchors (about one byte in 80) are put in buckets. Neighbouring windows with one anchor are a run. The
 initial bucket of a run is its anchor's q-gram. Buckets with one run are done: its windows occur once. In the others runs of wholly
 equal bytes are one class, and a class of two or more is done: all its windows repeat. Where classes meet in one bucket (near the ends
 of repeated passages), one run of each brings its bytes, and its windows are compared in the bucket. A bucket of more than

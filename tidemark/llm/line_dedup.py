@@ -1,9 +1,11 @@
-"""Line dedup by DataFrame functions alone.
-
-Each document gives its distinct line keys once. Their 128-bit hashes are range-partitioned with the document as the
-secondary sort key, so a key in a third of all documents is spread over many partitions; each partition is one sorted
-stream that folds a key to its first document and a count before the counts meet. Lines of frequent keys come back as
-sparse bitmaps, one 64-bit word for each 64 lines, with only the words that drop something; texts join these by id.
+"""Line dedup by DataFrame functions alone, with hashes ranged over the partitions and one sorted stream in each.
+
+Texts are cut once: each line gives the 128-bit hash of its key, its document and its position. These rows are partitioned by ranges of
+(hash, document) and sorted by (hash, document, position), so a key that a third of all documents hold fills partitions of its own instead of one
+task. Each partition is a stream in which a document's first line of a key is told from its later ones, and which folds a key to
+its number of documents and its first line. A key that lies inside one partition is settled there; only the least and the greatest key of
+each partition may go on in another, and only these are added up over partitions. The lines to drop are found among the same rows,
+partition by partition, and go back to the texts as bitmaps: one 64-bit word for each 64 lines, with only the words that drop something.
 With ``keep_first`` the first line of each frequent key (least doc_id, nulls last, then least text hash, then position) stays.
 
 Defined results: null or empty text is one empty line; a line's key is the line stripped of ASCII white space with A-Z
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BLANKS, lower_ascii, materialise, parts
 
@@ -31,43 +34,39 @@ def key(line: Column) -> Column:
 
 
 def _hashed(k: Column) -> list[Column]:
-    return [F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2")]
-
-
-def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, rank: Column | None = None) -> DataFrame:
-    """h1, h2, n_docs, first_doc (least doc_id, or least rank of doc_id and th) of the keys found in at least min_docs documents."""
-    own = ["doc_id"] if rank is None else ["doc_id", F.xxhash64("text").alias("th")]
-    firsts = docs.select(*own, F.explode(F.array_distinct(F.transform(lines(F.col("text")), key))).alias("k")).filter(F.length("k") >= min_chars)
-    dealt = firsts.select(*_hashed(F.col("k")), *firsts.columns[:-1]).repartitionByRange(parts(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
-    return dealt.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc_id" if rank is None else rank).alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+    """Two hashes of which neither follows from the other: the second is seeded by a literal's."""
+    return [F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")]
 
 
-def _each(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, th, pos, h1, h2 of each line whose key counts."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
-    return each.select("doc_id", "th", "pos", F.length(key(F.col("line"))).alias("n"), *_hashed(key(F.col("line")))).filter(F.col("n") >= min_chars)
+def dealt_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2, doc_id, th (hash of the text), pos, opens (first line of its key in its document), part (its range); sorted, on disk."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(lines(F.col("text")), key)).alias("pos", "k")).filter(F.length("k") >= min_chars)
+    cut = materialise(each.select(*_hashed(F.col("k")), "doc_id", "th", "pos"), "lines")
+    of_doc = ["h1", "h2", "doc_id", "th"]
+    ranged = cut.repartitionByRange(parts(docs.sparkSession), *of_doc).sortWithinPartitions(*of_doc, "pos")
+    # equal rows are lines of repeated documents, each of which opens: rank, not row number
+    opens = F.rank().over(Window.partitionBy(*of_doc).orderBy("pos")) == 1
+    return materialise(ranged.withColumn("opens", opens).withColumn("part", F.spark_partition_id()), "dealt")
 
 
-def first_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, f_id, f_th, f_pos: the first line of each frequent key; null ids come last. Only first documents are cut again."""
-    base = docs.select("doc_id", "text")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    frequent = materialise(frequent_keys(base, min_docs, min_chars, rank), "frequent").select("h1", "h2", F.col("first_doc.doc_id").alias("f_id"), F.col("first_doc.th").alias("f_th"))
-    of = frequent.select("f_id", "f_th").distinct()
-    firsts = base.join(of, base["doc_id"].eqNullSafe(of["f_id"]) & (F.xxhash64(base["text"]) == of["f_th"]), "left_semi")
-    own = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))
-    return _each(firsts, min_chars).join(frequent, ["h1", "h2"]).filter(own).groupBy("h1", "h2").agg(F.first("f_id").alias("f_id"), F.first("f_th").alias("f_th"), F.min("pos").alias("f_pos"))
+def frequent_keys(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Of ``dealt_lines``: h1, h2, part, first (null ids last), n_docs of the keys found in at least min_docs documents; a row for each range a key lies in."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
+    folded = rows.groupBy("h1", "h2", "part").agg(F.count_if("opens").alias("n"), F.min(place).alias("at"))
+    edges = rows.groupBy("part").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high"))  # a row for each partition
+    this = F.struct("h1", "h2")
+    open_ = folded.join(F.broadcast(edges), "part").filter((F.col("n") >= min_docs) | (this == F.col("low")) | (this == F.col("high")))
+    over = Window.partitionBy("h1", "h2")
+    settled = open_.select("h1", "h2", "part", F.min("at").over(over).alias("first"), F.sum("n").over(over).alias("n_docs"))
+    return settled.filter(F.col("n_docs") >= min_docs)
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), words map<int,long>: bit i of word w is 1 if line 64 w + i goes; documents that lose nothing have no row."""
-    base = docs.select("doc_id", "text")
-    each = _each(base, min_chars)
+    rows = dealt_lines(docs.select("doc_id", "text"), min_chars)
+    gone = rows.join(frequent_keys(rows, min_docs), ["h1", "h2", "part"])
     if keep_first:
-        first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos"))
-        gone = each.join(materialise(first_lines(base, min_docs, min_chars), "first_lines"), ["h1", "h2"]).filter(~first)
-    else:
-        gone = each.join(frequent_keys(base, min_docs, min_chars).select("h1", "h2"), ["h1", "h2"], "left_semi")
+        gone = gone.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))))
     bit = F.expr("shiftleft(1L, pos % 64)")
     word = gone.groupBy("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("w")).agg(F.bit_or(bit).alias("bits"))
     return word.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("words"))

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication, with DataFrame functions alone.
 
 Each source has a mean repetition rate: its target share of the budget over what it has. A document's count is the
-inverse of the Poisson distribution function with that mean at a uniform number seeded by a hash of its id, so a rerun or
-a recomputed task gives the same copies. The documents are exploded by their counts and dealt over the cluster in order of
+inverse of the Poisson distribution function with that mean at a uniform number seeded by a hash of its id (for rates over
+``PART`` a sum of such draws), so a rerun or a recomputed task gives the same copies. The documents are exploded by their counts and dealt over the cluster in order of
 a second hash of (id, copy).
 
 Defined results: null source is a source of its own; weights may be given for any sources, others default to a share by
@@ -12,17 +12,21 @@ repeated rows (one doc_id) get equal counts; an empty table gives an empty table
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts
+from .common import lookup, parts
 
 SEED = "mix-1"
 #: Target shares follow size ** ALPHA: below 1, small sources are raised and hot ones lowered.
 ALPHA = 0.5
-#: A table of distribution functions of at most so many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 10_000
+#: Greatest mean that is inverted in one go: a table then has at most 488 numbers. A greater rate is drawn in parts of this mean and a rest, whose sum has that law too.
+PART = 256.0
+#: Tables of at most so many sources (16 MB) are broadcast whole; of more, those of the largest sources are, and the others are joined by a shuffle.
+BROADCAST_ROWS = 4_000
 
 
 def uniform(*cols: Column, seed: str = SEED) -> Column:
@@ -44,24 +48,44 @@ def rates(docs: DataFrame, alpha: float = ALPHA, budget: float = 1.0, weights: D
     return size.join(F.broadcast(total)).select("source", rate.alias("rate"))
 
 
+def part_table() -> list[float]:
+    """The distribution function of mean PART, as ``poisson_tables`` has it."""
+    total, log_fact, out = 0.0, 0.0, []
+    for k in range(math.ceil(PART + 12 * math.sqrt(PART) + 40) + 1):
+        log_fact += math.log(k) if k else 0.0
+        total += math.exp(k * math.log(PART) - PART - log_fact)
+        out.append(total)
+    return out
+
+
 def poisson_tables(rate: DataFrame) -> DataFrame:
-    """source, cdf: ascending distribution function of the Poisson law, as far as a double can tell it from 1."""
+    """source, parts (whole PARTs in its rate), cdf: ascending distribution function of the rest's Poisson law, as far as a double can tell it from 1."""
+    whole = F.floor(F.col("rate") / PART)
+    rate = rate.filter("rate > 0").select("source", whole.alias("parts"), (F.col("rate") - whole * PART).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("long")
-    k = rate.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    k = rate.select("source", "parts", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
     run = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     log_fact = F.sum(F.when(F.col("k") > 0, F.ln("k")).otherwise(0.0)).over(run)
-    pmf = F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("log_fact"))
+    pmf = F.when(F.col("rate") > 0, F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("log_fact"))).otherwise((F.col("k") == 0).cast("double"))
     cdf = k.withColumn("log_fact", log_fact).withColumn("pmf", pmf).withColumn("cdf", F.sum("pmf").over(run))
-    return cdf.groupBy("source").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
+    return cdf.groupBy("source", "parts").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
 
 
 def _mixed(docs: DataFrame, alpha: float, budget: float, weights: DataFrame | None, seed: str) -> DataFrame:
-    table = poisson_tables(rates(docs, alpha, budget, weights)).select(F.col("source").alias("__tm_s"), F.col("cdf").alias("__tm_cdf"))
-    few = docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(table) if few else table, docs["source"].eqNullSafe(F.col("__tm_s")), "inner")
-    u = uniform(docs["doc_id"], seed=f"{seed}:n")
-    count = F.size(F.filter("__tm_cdf", lambda c: c <= F.col("__tm_u")))
-    rows = joined.withColumn("__tm_u", u).withColumn("__tm_n", count).filter("__tm_n > 0")
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit(""))  # noqa: E731  a key that is never null
+    table = poisson_tables(rates(docs, alpha, budget, weights)).select(name(F.col("source")).alias("__tm_s"), F.col("parts").alias("__tm_parts"), F.col("cdf").alias("__tm_cdf"))
+    rows, few = docs.withColumn("__tm_s", name(docs["source"])), docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        joined = rows.join(F.broadcast(table), "__tm_s")
+    else:
+        sizes = rows.groupBy("__tm_s").agg(F.count("*").alias("__tm_size"))
+        joined = lookup(rows, table.join(sizes, "__tm_s"), ["__tm_s"], "__tm_size", docs.count(), hot=BROADCAST_ROWS)
+    below = lambda cdf, u: F.size(F.filter(cdf, lambda c: c <= u))
+    whole = F.split(F.lit(",".join(map(repr, part_table()))), ",").cast("array<double>")
+    draws = F.transform(F.sequence(F.lit(1).cast("long"), "__tm_parts"), lambda j: below(whole, uniform(F.col("doc_id"), j, seed=f"{seed}:p")))
+    more = F.when(F.col("__tm_parts") > 0, F.aggregate(draws, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    joined = joined.withColumn("__tm_u", uniform(F.col("doc_id"), seed=f"{seed}:n"))
+    rows = joined.withColumn("__tm_n", below("__tm_cdf", F.col("__tm_u")) + more).filter("__tm_n > 0")
     rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tm_n").cast("long") - 1)).alias("__tm_copy"))
     rows = rows.withColumn("__tm_key", uniform(F.col("doc_id"), F.col("__tm_copy"), seed=f"{seed}:o"))
     return rows.repartitionByRange(parts(docs.sparkSession), "__tm_key").sortWithinPartitions("__tm_key")

@@ -43,6 +43,22 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than one row in this many are hot, so there are never more hot keys than that.
+HOT_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", hot: int = HOT_KEYS) -> DataFrame:
+    """rows joined with a table of unique, non-null keys whose column ``n`` says how many rows each key has; total: all rows.
+
+    Hot keys, at most ``hot``, are broadcast, so their rows stay where they are; the others meet by a shuffle in
+    which no key has more than one row in ``hot``. Columns of ``table`` but the keys and ``n`` are added (none for left_semi).
+    """
+    least = max(total // hot, 1)
+    there = rows.join(F.broadcast(table.filter(F.col(n) > least).drop(n)), keys, "left_semi" if how == "left_semi" else "inner")
+    cold = rows.join(F.broadcast(table.filter(F.col(n) > least).select(*keys)), keys, "left_anti")
+    return there.unionByName(cold.join(table.filter(F.col(n) <= least).drop(n), keys, how))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, parts
+from .common import id_and_text, lookup, materialise, parts
 
 LENGTH = 200
 GRAM = 40
@@ -33,7 +33,7 @@ BUCKET = 2000
 CHUNK = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWER: dict[str, np.ndarray] = {}
-RUN = "doc_id long, th long, at long, kh long, sh long"
+RUN = "doc_id long, th long, at long, rep long, kh long, sh long"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +98,26 @@ def _unpack(at: int) -> tuple[int, int, int]:
 
 
 def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """RUN rows of all documents: kh names the bucket, sh the bytes of the run's windows (and where the anchor lies in them)."""
+    """RUN rows of all documents: kh names the bucket, sh the bytes of the run's windows (and where the anchor lies in them), rep how many equal runs follow each other."""
 
     def some(held: list[tuple]) -> Iterator[tuple]:
         joined = b"".join(x[3] for x in held)
         starts = np.cumsum([0, *(len(x[3]) for x in held)])
         first_, last_, anchor = runs(np.frombuffer(joined, np.uint8), starts, length, gram)
         text = np.searchsorted(starts, first_, side="right") - 1
+        same, row = None, None  # runs of equal bytes that follow each other, as in periodic text, are one row
         for first, last, a, k in zip(first_.tolist(), last_.tolist(), anchor.tolist(), text.tolist(), strict=True):
-            doc, th, shift, _ = held[k]
-            yield doc, th, _pack(first - int(starts[k]) + shift, last - first + 1, a - first), _hash(joined[a : a + gram]), _hash(joined[first : last + length], a - first)
+            sh = _hash(joined[first : last + length], a - first)
+            if same == (k, sh, last - first, first):
+                row[3] += 1
+            else:
+                if row:
+                    yield tuple(row)
+                doc, th, shift, _ = held[k]
+                row = [doc, th, _pack(first - int(starts[k]) + shift, last - first + 1, a - first), 1, _hash(joined[a : a + gram]), sh]
+            same = k, sh, last - first, last + 1
+        if row:
+            yield tuple(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,8 +134,8 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 yield _batch(some(held))
 
     def _batch(rows: Iterator[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "at", "kh", "sh"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "at", "rep", "kh", "sh"])
 
     return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, RUN)
 
@@ -146,22 +156,23 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A row that needs no answer stands for a class that has one. A bucket is open if a class of one needs an answer and another class is there.
     """
-    who = F.struct(*[c for c in rows.columns if c not in ("kh", "sh", "need")])
-    c = rows.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(who).alias("who"), F.min("need").alias("need"))
+    who = F.struct(*[c for c in rows.columns if c not in ("kh", "sh", "need", "rep")])
+    c = rows.groupBy("kh", "sh").agg(F.sum("rep").alias("n"), F.count("*").alias("rows"), F.min(who).alias("who"), F.min("need").alias("need"))
     c = materialise(c.withColumn("need", F.col("need") & (F.col("n") == 1)), "classes")
-    open_ = c.groupBy("kh").agg(F.count("*").alias("classes"), F.max("need").alias("any")).filter("classes > 1 and any")
-    return c.filter("n > 1").select("kh", "sh"), c.join(open_, "kh").select("kh", "sh", "need", "classes", "who.*")
+    open_ = c.groupBy("kh").agg(F.count("*").alias("classes"), F.count("*").alias("n"), F.max("need").alias("any")).filter("classes > 1 and any")
+    return c.filter("n > 1").select("kh", "sh", "rows"), lookup(c.drop("n"), open_, ["kh"], "n", c.count()).select("kh", "sh", "need", "classes", "who.*")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """doc_id, th, start, end (bytes): spans, overlapping or not, that together cover the windows which occur more than once."""
     spark, n_parts = docs.sparkSession, parts(docs.sparkSession)
-    span = lambda df: df.select("doc_id", "th", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255) + length).alias("end"))
-    all_runs = anchored(docs, length, gram)
-    shared = all_runs.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1").select("kh")
-    rows = materialise(all_runs.join(shared, "kh"), "runs")
+    windows = (F.shiftright("at", 8).bitwiseAND(255) + 1) * F.col("rep")
+    span = lambda df: df.select("doc_id", "th", F.shiftright("at", 16).alias("start"), (F.shiftright("at", 16) + windows - 1 + length).alias("end"))
+    all_runs = materialise(anchored(docs, length, gram), "anchors")
+    shared = all_runs.groupBy("kh").agg(F.count("*").alias("n"), F.sum("rep").alias("of")).filter("of > 1").select("kh", "n")
+    rows = materialise(lookup(all_runs, shared, ["kh"], "n", all_runs.count()), "runs")
     done, open_ = _classes(rows.withColumn("need", F.lit(True)))
-    found = [span(rows.join(done, ["kh", "sh"], "left_semi"))]
+    found = [span(lookup(rows, done, ["kh", "sh"], "rows", rows.count(), "left_semi"))]
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -190,9 +201,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         if big.isEmpty():
             break
         width //= 2
-        cells = materialise(big.mapInArrow(lambda b, length=length, width=width: _cells(b, length, width), MEMBER).drop("classes"), "cells")
+        cells = materialise(big.mapInArrow(lambda b, length=length, width=width: _cells(b, length, width), MEMBER).drop("classes").withColumn("rep", F.lit(1).cast("long")), "cells")
         done, rows = _classes(cells)
-        found.append(span(cells.filter("need").join(done, ["kh", "sh"], "left_semi")))
+        found.append(span(lookup(cells.filter("need"), done, ["kh", "sh"], "rows", cells.count(), "left_semi")))
         rows = materialise(rows.select("kh", "sh", "need", "classes", "doc_id", "th", "at", "bytes"), "members")
     out = found[0]
     for f in found[1:]:
@@ -282,7 +293,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end in bytes: the maximal removed runs), kept (binary: the other bytes joined)."""
-    spans = repeated_spans(docs, length, gram, bucket).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, length, gram, bucket).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # a set: repeated rows have equal spans
     z = compressed(docs)
     both = z.join(spans, z["doc_id"].eqNullSafe(spans["doc_id"]) & (z["th"] == spans["th"]), "left").select(z["doc_id"], "z", "spans")
 

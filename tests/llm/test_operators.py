@@ -223,3 +223,35 @@ def test_line_dedup(docs, rows):
     got = collections.Counter((r.doc_id, r["__tm_lines"], r["__tm_dropped"], r["__tm_kept"]) for r in line_dedup.line_dedup(docs).collect())
     assert got == want and any(w[2] for w in want)
     assert line_dedup.apply(docs).columns == docs.columns
+
+
+def test_mixing_of_great_rates(spark):
+    """A tiny source beside a huge one is drawn in parts; the SQL agrees; more sources than are broadcast give the same copies."""
+    import duckdb
+
+    from tidemark.llm import queries
+
+    rows = [(i, "x" * 20_000 if i % 2 else "y" * 3_000, "big", 0) for i in range(60)] + [(100 + i, "t", "tiny", 0) for i in range(3)] + [(200, "t", None, 0), (None, "tt", "tiny", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    flat = lambda rs: sorted((-1 if i is None else i, n, round(k, 12)) for i, n, k in rs)
+    got = flat((r.doc_id, r.copy_no, r.mix_key) for r in mixing.mix(docs).collect())
+    assert max(r.rate for r in mixing.rates(docs).collect()) > 2 * mixing.PART
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    assert got == flat(con.execute("SELECT doc_id, copy_no, mix_key FROM (" + queries.OP3_SQL + ")").fetchall())
+    before, mixing.BROADCAST_ROWS = mixing.BROADCAST_ROWS, 1
+    try:
+        assert flat((r.doc_id, r.copy_no, r.mix_key) for r in mixing.mix(docs).collect()) == got
+    finally:
+        mixing.BROADCAST_ROWS = before
+
+
+def test_suffix_dedup_of_periodic_text(spark):
+    """A hundred thousand equal bytes are a handful of rows, and go whole; so do longer periods."""
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefgh") for _ in range(50))
+    texts = ["x" * 100_000, word * 400, "head " + word * 10 + " tail", "own text " * 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert suffix_dedup.anchored(docs).count() < 200
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == {0: b"", 1: b"", 2: b"head  tail", 3: ("own text " * 3).encode()}

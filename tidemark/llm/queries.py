@@ -67,11 +67,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP3_SQL = f"""
 WITH size AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
 rate AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM size) * pow(size, {mixing.ALPHA}) / (SELECT sum(pow(size, {mixing.ALPHA})) FROM size) / size ELSE 0 END AS rate FROM size),
-k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rate WHERE rate > 0),
-f AS (SELECT source, rate, k, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
-c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
-t AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
-n AS (SELECT d.doc_id, d.source, d.text, len(list_filter(t.cdf, lambda x: x <= CAST(CAST('0x' || substr(md5('{mixing.SEED}:n:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n
+rest AS (SELECT source, CAST(floor(rate / {mixing.PART}) AS BIGINT) AS parts, rate - floor(rate / {mixing.PART}) * {mixing.PART} AS rate FROM rate WHERE rate > 0),
+k AS (SELECT source, parts, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rest),
+f AS (SELECT source, parts, rate, k, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
+c AS (SELECT source, parts, k, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lf) WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
+t AS (SELECT source, any_value(parts) AS parts, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
+n AS (SELECT d.doc_id, d.source, d.text, CAST(coalesce(list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter({mixing.part_table()}, lambda x: x <= CAST(CAST('0x' || substr(md5('{mixing.SEED}:p:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(j AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)))), 0) AS BIGINT) + len(list_filter(t.cdf, lambda x: x <= CAST(CAST('0x' || substr(md5('{mixing.SEED}:n:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n
       FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT doc_id, source, text, unnest(range(0, n)) AS copy_no FROM n WHERE n > 0)
 SELECT doc_id, source, copy_no, CAST(CAST('0x' || substr(md5('{mixing.SEED}:o:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy_no AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS mix_key, text FROM e

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, parts
+from .common import id_and_text, lookup, materialise, parts
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -176,43 +176,54 @@ def link(codes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Da
     return out.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (least node of its component) of every node in the edges a, b; by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (least node of its component) of every node in the edges a, b; by alternating large and small stars until nothing changes.
+
+    A hub's edges stay spread: hubs are looked up as ``lookup`` does.
+    """
     pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(e: DataFrame, both: bool) -> DataFrame:
+    def star(e: DataFrame, both: bool, n: int) -> DataFrame:
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else e
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = around.join(least, "u").filter("v > u" if both else "v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        hung = lookup(around, least, ["u"], "n", n).filter("v > u" if both else "v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         keep = least.select("u", F.col("m").alias("v"))
-        return hung.unionByName(keep).filter("u != v").distinct()
+        return materialise(hung.unionByName(keep).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
 
     before = state(pairs)
-    for _ in range(rounds):
-        pairs = materialise(star(star(pairs, True), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    while before[0]:
+        pairs = star(star(pairs, True, 2 * before[0]), False, before[0])
         now = state(pairs)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, th, fp, root (least fingerprint of the class): a row for each document, on disk."""
     fps = materialise(fingerprints(docs, size), "fingerprints")
-    roots = components(link(fps, max_bits))
-    return materialise(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root")), "classes")
+    return materialise(of_class(fps, components(link(fps, max_bits)), "fp").select("doc_id", "th", "fp", "root"), "classes")
+
+
+def of_class(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """rows (on disk) with the root of their node; a node without links is its own. Copies share a node and are looked up as ``lookup`` does."""
+    each = rows.groupBy(node).agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", node), node, "left").select(node, "n", F.coalesce("root", node).alias("root"))
+    return lookup(rows, each, [node], "n", rows.count())
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id: a row for each document."""
-    rows = classes(docs, size, max_bits)
-    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+    fps = materialise(fingerprints(docs, size), "fingerprints")
+    total, roots = fps.count(), components(link(fps, max_bits))
+    each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))  # classes are named over distinct fingerprints
+    each = materialise(each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    named = materialise(lookup(each, least, ["root"], "fps", each.count()).select("fp", "n", "component_id"), "names")
+    return lookup(fps, named, ["fp"], "n", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

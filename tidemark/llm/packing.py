@@ -6,7 +6,7 @@ groups of some thousands. Within a group, in descending length, each piece goes
 (tokens + tokens * piece length / QUADRATIC, summed) with room for it; a new sequence opens where none has room. Only piece
 descriptions are shuffled; ids never are.
 
-Defined results: null or empty text is the end id alone; repeated rows are packed each on their own; an empty table gives an
+Defined results: null or empty text is the end id alone; repeated rows are packed each on their own (those of one task in different groups); an empty table gives an
 empty table; extra columns are ignored. A sequence longer than ``size`` never occurs.
 """
 
@@ -32,6 +32,8 @@ GROUP = 4096
 #: Tokens of context at which attention costs as much as everything linear.
 QUADRATIC = 4096.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: nth tells equal documents of one task apart, so that the rows of a document that is repeated many times are dealt to many groups.
+_DEALT = PIECES + ", __tm_nth long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -64,18 +66,24 @@ def assign(lengths: np.ndarray, size: int = SIZE, quadratic: float = QUADRATIC)
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
-    """A row for each piece of each document, the end id included."""
+def _pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
+    """A row for each piece of each document, the end id included, and which of its equals in its task it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, seen = encoder(tokenizer), {}
         for b in batches:
             rows = []
             for doc, ids in zip(b["doc_id"].to_pylist(), encoded(enc, b["text"]), strict=True):
-                rows += [(doc, s, n, zlib.crc32(ids[s : s + n]), len(ids)) for s, n in cuts(len(ids), size, grain)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                nth = seen[doc, len(ids)] = seen.get((doc, len(ids)), -1) + 1
+                rows += [(doc, s, n, zlib.crc32(ids[s : s + n]), len(ids), nth) for s, n in cuts(len(ids), size, grain)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], [c.split()[0] for c in _DEALT.split(", ")])
+
+    return id_and_text(docs).mapInArrow(run, _DEALT)
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
+    """A row for each piece of each document, the end id included."""
+    return _pieces(docs, tokenizer, size, grain).drop("__tm_nth")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, grain: int = GRAIN, group: int = GROUP, quadratic: float = QUADRATIC) -> DataFrame:
@@ -84,12 +92,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, grain: i
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = int(pdf["__tm_group"].iloc[0])
-        pdf = pdf.drop(columns="__tm_group").sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.drop(columns=["__tm_group", "__tm_nth"]).sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         n = pdf["length"].to_numpy()
         full = int((n == size).sum())
         pdf["sequence_id"] = (key << 31) + np.concatenate([np.arange(full), full + assign(n[full:], size, quadratic)]).astype(np.int64)
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf
 
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    return pieces(docs, tokenizer, size, grain).withColumn("__tm_group", key).groupBy("__tm_group").applyInPandas(run, PACKED)
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "__tm_nth"), F.lit(groups))
+    return _pieces(docs, tokenizer, size, grain).withColumn("__tm_group", key).groupBy("__tm_group").applyInPandas(run, PACKED)

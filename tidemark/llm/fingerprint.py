@@ -29,35 +29,42 @@ from .common import id_and_text, parts
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 GRID = 32
-_POWERS = [np.ones(1, np.uint64) for _ in PRIMES]
+#: Code points taken at a time; arrays of a whole text have four bytes a code point.
+CHUNK = 1 << 20
+#: A bucket of neighbouring documents has about so many code points, where that makes more buckets than four a partition.
+BUCKET_CHARS = 32 << 20
+_POWERS = [np.ones(1, np.uint32) for _ in PRIMES]
 
 
 def powers(n: int, k: int) -> np.ndarray:
-    """BASES[k] ** i modulo PRIMES[k] for i up to n, grown by doubling and kept."""
-    while len(_POWERS[k]) <= n:
-        p, m = _POWERS[k], np.uint64(PRIMES[k])
-        step = p[-1] * np.uint64(BASES[k]) % m
-        _POWERS[k] = np.concatenate([p, p * step % m])
-    return _POWERS[k]
+    """BASES[k] ** i modulo PRIMES[k] for i up to n, grown by doubling; up to CHUNK are kept from text to text."""
+    p, m = _POWERS[k], np.uint64(PRIMES[k])
+    while len(p) <= n:
+        p = np.concatenate([p, (p * (np.uint64(p[-1]) * np.uint64(BASES[k]) % m) % m).astype(np.uint32)])
+        if len(p) <= CHUNK:
+            _POWERS[k] = p
+    return p
 
 
 class Prefix:
     """Prefix arrays of one text: at[k][i] = sum of (code point j + 1) * base ** j for j < i, modulo prime k."""
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        self.n, self.at = len(codes), []
-        for k, p in enumerate(PRIMES):
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(codes * powers(self.n, k)[: self.n] % np.uint64(p), out=sums[1:])
-            self.at.append(sums % np.uint64(p))
+        self.n, self.at = len(text), []
+        for k, prime in enumerate(PRIMES):
+            p, power, sums = np.uint64(prime), powers(self.n, k), np.zeros(self.n + 1, np.uint32)
+            for i in range(0, self.n, CHUNK):
+                codes = np.frombuffer(text[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+                end = i + len(codes)
+                sums[i + 1 : end + 1] = (np.cumsum(codes * power[i:end] % p) + np.uint64(sums[i])) % p
+            self.at.append(sums)
 
     def spans(self, start: np.ndarray, end: np.ndarray, shift: int) -> list[np.ndarray]:
         """Hashes of spans, each times base ** (shift - start), so that spans of equal texts agree for one shift."""
         out = []
         for k, prime in enumerate(PRIMES):
             p = np.uint64(prime)
-            out.append((self.at[k][end] + p - self.at[k][start]) % p * powers(shift, k)[shift - start] % p)
+            out.append((self.at[k][end] + p - self.at[k][start]) % p * powers(shift, k)[shift - start] % p)  # p makes them 64 bits wide
         return out
 
     def span_equal(self, i: int, other: Prefix, j: int, length: int) -> bool:
@@ -83,7 +90,7 @@ def edited(a: Prefix, b: Prefix) -> Prefix:
     out.at = []
     for k, prime in enumerate(PRIMES):
         p = np.uint64(prime)
-        out.at.append(np.concatenate([a.at[k][: cut + 1], (a.at[k][cut] + b.at[k][1 : take + 1] * powers(cut, k)[cut] % p) % p]))
+        out.at.append(np.concatenate([a.at[k][: cut + 1], ((a.at[k][cut] + b.at[k][1 : take + 1] * np.uint64(powers(cut, k)[cut]) % p) % p).astype(np.uint32)]))
     return out
 
 
@@ -95,15 +102,19 @@ def step(n: int) -> int:
 def fingerprint(x: Prefix) -> str:
     """n, hash of the whole, then prefix and suffix hashes on the grid; hexadecimal, parted by '-'."""
     at = np.arange(step(x.n), x.n + 1, step(x.n))
-    zero = np.zeros_like(at)
     whole = "".join(f"{int(x.at[k][x.n]):08x}" for k in range(2))
     heads = x.at[0][at]
-    tails = x.spans(x.n - at, zero + x.n, x.n)[0] if len(at) else heads
+    # of suffixes, as if each stood alone: equal ones agree in texts of any length
+    tails = np.array([(int(x.at[0][x.n]) - int(x.at[0][s])) * pow(BASES[0], -s, PRIMES[0]) % PRIMES[0] for s in (x.n - at).tolist()], np.uint64)
     return "-".join([f"{x.n:x}", whole, heads.astype(">u4").tobytes().hex(), tails.astype(">u4").tobytes().hex()])
 
 
 def likeness(a: str, b: str) -> float:
-    """How much of the longer text the two agree on from start and end, as far as the fingerprints tell; 0 to 1."""
+    """How much of the longer text the two agree on, as far as the fingerprints tell; 0 to 1.
+
+    The greatest of: the leading and trailing agreement; the blocks between neighbouring places of the grid that agree, counted from the
+    start; the same from the end. A block's hash is a difference of its ends' hashes, so edits spread over a text cost their blocks alone.
+    """
     if a == b:
         return 1.0
     (na, _, ha, ta), (nb, _, hb, tb) = (x.split("-") for x in (a, b))
@@ -111,12 +122,13 @@ def likeness(a: str, b: str) -> float:
     if not min(na, nb):
         return 0.0
     wide = max(step(na), step(nb))
-    most, total = min(na, nb) // wide, 0
-    for x, y in ((ha, hb), (ta, tb)):
-        sa, sb = 8 * (wide // step(na)), 8 * (wide // step(nb))
-        differs = lambda m: x[m * sa - 8 : m * sa] != y[m * sb - 8 : m * sb]  # noqa: B023, E731
-        total += bisect.bisect_left(range(1, most + 1), True, key=differs)
-    return min(total, most) * wide / max(na, nb)
+    most, p, blocks, total = min(na, nb) // wide, PRIMES[0], [], 0
+    shift = pow(BASES[0], wide, p)
+    for x, y, back in ((ha, hb, False), (ta, tb, True)):
+        u, v = ([0, *(int(z[8 * k - 8 : 8 * k], 16) for k in range(wide // step(n), len(z) // 8 + 1, wide // step(n)))][: most + 1] for z, n in ((x, na), (y, nb)))
+        total += bisect.bisect_left(range(1, most + 1), True, key=lambda m: u[m] != v[m])  # noqa: B023
+        blocks.append(sum((a - (c * shift if back else c) - b + (d * shift if back else d)) % p == 0 for c, a, d, b in zip(u, u[1:], v, v[1:], strict=False)))
+    return max(min(total, most), *blocks) * wide / max(na, nb)
 
 
 def followed(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -126,7 +138,8 @@ def followed(docs: DataFrame) -> tuple[DataFrame, int]:
     find the buckets' edges: a few for each bucket, however many documents there are.
     """
     spark, base = docs.sparkSession, id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    most = 4 * parts(spark)
+    size = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    most = min(max(4 * parts(spark), size // BUCKET_CHARS), 10_000)  # what percentile_approx can tell apart; buckets are read as streams
     cut = base.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / most for i in range(1, most)], 10_000)).first()[0] or []
     cut = sorted(set(cut), reverse=True)
     bounds = F.array(*[F.lit(c) for c in cut]).cast("array<long>")

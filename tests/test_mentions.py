@@ -22,7 +22,7 @@ def plain(text):
         i, s = owner[m[1].lower()]
         sure = s.lower() not in M.ORDINARY and len(s) > 4
         near = text[max(0, m.start() - 120) : m.end() + 120]
-        if i and (sure or (m[1] == s and re.search(rf"\b(?:{M.CUES})\b|{M.CURRENCY}", near, re.I))):
+        if i and (sure or (m[1] == s and re.search(M.CUE, near, re.I))):
             out.setdefault(i, [0, m.start(), m[1], sure])[0] += 1
     return out
 

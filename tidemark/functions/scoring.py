@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bound, holds_any
+
 # Fixed values of the scoring model.
 BASE_WEIGHTS = {"funding": 25, "new_office": 20, "leadership_change": 18, "engineering_expansion": 15, "ai_division": 15, "infrastructure_investment": 10, "product_launch": 8, "acquisition": 12, "partnership": 5, "career_page_update": 8, "layoff": -20}
 HALF_LIVES = {"funding": 120, "new_office": 90, "leadership_change": 90, "engineering_expansion": 60, "ai_division": 90, "infrastructure_investment": 60, "product_launch": 45, "acquisition": 90, "partnership": 30, "career_page_update": 14, "layoff": 90}
@@ -26,20 +28,17 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.when(h == "", url).otherwise(h)), r"^www\.", "")
 
 
-def _any(h: Column, parts: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | h.contains(p)
-    return out
+def source_tier(url: Column, domain: Column | None = None) -> Column:
+    """The host is taken from the address once, not for each name it is held against."""
 
+    def judged(h: Column) -> Column:
+        own = F.coalesce((F.length(domain) > 0) & h.contains(F.lower(domain)), F.lit(False)) if domain is not None else F.lit(False)
+        return (
+            F.when(own | holds_any(h, BOARDS), "first_party").when(holds_any(h, PRESS), "tier1_press")
+            .when(holds_any(h, AGGREGATORS) | holds_any(F.lower(url), AGGREGATORS), "aggregator").when(h != "", "blog").otherwise("rumor")
+        )
 
-def source_tier(url: Column, domain: Column | None = None) -> Column:
-    h = host(url)
-    own = F.coalesce((F.length(domain) > 0) & h.contains(F.lower(domain)), F.lit(False)) if domain is not None else F.lit(False)
-    return (
-        F.when(url.isNull() | (url == ""), "rumor").when(own | _any(h, BOARDS), "first_party").when(_any(h, PRESS), "tier1_press")
-        .when(_any(h, AGGREGATORS) | _any(F.lower(url), AGGREGATORS), "aggregator").when(h != "", "blog").otherwise("rumor")
-    )
+    return F.when(url.isNull() | (url == ""), "rumor").otherwise(bound(host(url), judged))
 
 
 def effective_time(occurred: Column, observed: Column) -> Column:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What makes a text relevant or not, in the order of the rules.
 EXCLUDE = ("happy diwali", "merry christmas", "season's greetings", "happy holi", "eid mubarak", "happy new year", "happy independence day", "happy pongal", "employee of the month", "meet our team", "day in the life", "team outing", "company picnic", "annual day", "women's day celebration", "limited time offer", "discount code", "sale ends", "coupon", "promo code", "subscribe to our channel", "use code", "cookie policy", "privacy policy", "terms of service", "terms and conditions")
@@ -35,17 +38,39 @@ def markup_ratio(text: Column) -> Column:
     return F.when(n > 0, (n - F.length(F.translate(text, MARKUP, ""))) / n).otherwise(0.0)
 
 
-def _alternatives(parts: tuple[str, ...]) -> str:
-    return "|".join(re.escape(p).replace("\\'", "'") for p in parts)
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def squeeze(text: Column) -> Column:
+    """Stripped, with runs of white space as one space."""
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def bound(col: Column, body) -> Column:
+    """``body`` of a column that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
+def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the literals, by byte search."""
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
 
 
 def prefilter(text: Column, source_type: Column) -> Column:
     """Why a text passes or not: always, short, markup, include, exclude or unmatched."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return (
-        F.when(source_type.isin("career_page", "ats_api"), "always").when(F.length(t) < 100, "short").when(markup_ratio(t) > 0.3, "markup")
-        .when(t.rlike(_alternatives(INCLUDE)), "include").when(t.rlike(_alternatives(EXCLUDE)), "exclude").otherwise("unmatched")
-    )
+
+    def judged(t: Column) -> Column:
+        return (
+            F.when(F.length(t) < 100, "short").when(markup_ratio(t) > 0.3, "markup")
+            .when(holds_any(t, INCLUDE), "include").when(holds_any(t, EXCLUDE), "exclude").otherwise("unmatched")
+        )
+
+    return F.when(source_type.isin("career_page", "ats_api"), "always").otherwise(bound(F.lower(strip(F.coalesce(text, F.lit("")))), judged))
 
 
 def passes(reason: Column) -> Column:
@@ -90,7 +115,7 @@ def title_overlap(a: Column, b: Column) -> Column:
 
 def content_hash(text: Column, normalised: bool = False) -> Column:
     t = F.coalesce(text, F.lit(""))
-    return F.sha2(F.regexp_replace(F.lower(F.trim(t)), r"(?U)\s+", " ") if normalised else t, 256)
+    return F.sha2(squeeze(F.lower(t)) if normalised else t, 256)
 
 
 def normalize_domain(url: Column) -> Column:
@@ -105,14 +130,21 @@ def registrable_domain(url: Column) -> Column:
     return F.when(F.coalesce(normalize_domain(url), F.lit("")) == "", "unknown").when(n <= 2, F.concat_ws(".", labels)).when(last.isin(*SUFFIXES), F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(last)
 
 
-def slugify(name: Column) -> Column:
-    """For names in Latin letters without marks; others need ``unicodedata`` first."""
+@F.pandas_udf(StringType())
+def fold_ascii(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition with all that is not ASCII dropped."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
+def slugify(name: Column, fold: bool = False) -> Column:
+    """For names in ASCII; ``fold`` takes others through ``fold_ascii`` first, which costs a pass through Python."""
+    name = fold_ascii(name) if fold else name
     s = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", "company").otherwise(s)
 
 
 def synthetic_external_id(title: Column, location: Column, url: Column) -> Column:
-    same = F.regexp_replace(F.lower(F.trim(F.concat_ws("|", F.coalesce(title, F.lit("")), F.coalesce(location, F.lit(""))))), r"(?U)\s+", " ")
+    same = F.concat_ws("|", *[squeeze(F.lower(F.coalesce(c, F.lit("")))) for c in (title, location)])
     return F.concat(F.lit("cp_"), F.substring(F.sha2(F.when(F.length(url) > 0, url).otherwise(same), 256), 1, 20))
 
 
@@ -121,11 +153,33 @@ def embedding_text(*cols: Column, most: int = 8000) -> Column:
     return F.substring(F.regexp_replace(F.trim(F.concat_ws(" ", parts)), r"(?U)\s+", " "), 1, most)
 
 
+def job_embedding_text(title: Column, department: Column, family: Column, description: Column) -> Column:
+    return embedding_text(title, department, family, F.substring(description, 1, 500))
+
+
+def resume_embedding_text(skills: Column, families: Column, seniority: Column, locations: Column) -> Column:
+    return embedding_text(F.array_join(skills, " "), F.array_join(families, " "), seniority, F.array_join(locations, " "))
+
+
+def article_text(*cols: Column) -> Column:
+    """The parts that are not empty, by a blank line."""
+    return F.array_join(F.filter(F.array(*cols), lambda c: F.length(c) > 0), "\n\n")
+
+
+def entry_text(title: Column, body: Column) -> Column:
+    return strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit(""))))
+
+
+def is_unreadable(text: Column) -> Column:
+    """Whether a document's normalised text is too short to be one."""
+    return F.length(normalize_document_text(text)) < 50
+
+
 def clean_str_list(col: Column, cap: int) -> Column:
     """Trimmed, without blanks, the first of each spelling letter case aside, at most cap."""
-    t = F.filter(F.transform(col, F.trim), lambda x: x != "")
-    low = F.transform(t, F.lower)
-    return F.slice(F.filter(t, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, cap)
+    trimmed = F.filter(F.transform(col, lambda x: strip(x)), lambda x: x != "")
+    first = lambda t: bound(F.transform(t, F.lower), lambda low: F.filter(t, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+    return F.slice(bound(trimmed, first), 1, cap)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -134,6 +188,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def unit_normalize(v: Column) -> Column:
+    """Divided by its length; a zero vector stays as it is."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
 def normalize_document_text(text: Column) -> Column:
     """Line ends as ``\\n``, runs of spaces and tabs as one space, lines stripped, one blank line at most in a row."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "[ \\t\u00a0]+", " ")

@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
+from tidemark.operators import extraction as E
 
 
 def resolve_entities(mentions: DataFrame, companies: DataFrame, col: str) -> DataFrame:
-    """The company of each mention by lower-case name, then slug; the first that hits, else NULL. One equi-join over keyed spellings."""
-    keys = companies.select(F.lower("name").alias("key"), F.lit(0).alias("rank"), F.col("id").alias("company_id")).unionByName(companies.select(F.col("slug").alias("key"), F.lit(1).alias("rank"), F.col("id").alias("company_id")))
-    best = keys.groupBy("key").agg(F.min(F.struct("rank", "company_id")).alias("b"))
-    return mentions.join(best, F.lower(F.col(col)) == best["key"], "left").select(*mentions.columns, F.col("b.company_id").alias("company_id"))
+    """The company of each mention by domain, then name in any case, then alias to the letter, then slug; the first that hits, else NULL.
+
+    companies: id, name, slug, and canonical_domain and aliases if there. The four spellings of a mention meet those of the companies by kind and key in joins on keys that
+    are unique on one side; the distinct mentions are looked up, then join their rows.
+    """
+    none = F.expr("CAST(array() AS array<string>)")
+    own = lambda c, other: F.col(c) if c in companies.columns else other
+    spelt = F.concat(F.array(_keyed(0, own("canonical_domain", F.lit(None))), _keyed(1, F.lower("name")), _keyed(3, F.col("slug"))), F.transform(F.coalesce(own("aliases", none), none), lambda a: _keyed(2, a)))
+    keys = companies.select("id", F.explode(spelt).alias("k")).filter("k.key is not null and k.key != ''").groupBy("k").agg(F.min("id").alias("company_id"))
+    t = T.strip(F.col(col))
+    asked = mentions.select(F.col(col)).filter(t != "").distinct()
+    ways = F.array(_keyed(0, F.nullif(T.normalize_domain(t), F.lit(""))), _keyed(1, F.lower(t)), _keyed(2, t), _keyed(3, T.slugify(t)))
+    best = asked.select(F.col(col).alias("__tm_m"), F.explode(ways).alias("k")).join(keys, "k").groupBy("__tm_m").agg(F.min_by("company_id", "k.rank").alias("__tm_c"))
+    return mentions.join(best, F.col(col) == F.col("__tm_m"), "left").select(*[c for c in mentions.columns if c != "company_id"], F.col("__tm_c").alias("company_id"))
+
+
+def _keyed(rank: int, key: Column) -> Column:
+    return F.struct(F.lit(rank).alias("rank"), key.cast("string").alias("key"))
 
 
 def dedup_candidates(new: DataFrame, existing: DataFrame, days: int = 14) -> DataFrame:
@@ -29,30 +47,26 @@ def dedup_candidates(new: DataFrame, existing: DataFrame, days: int = 14) -> Dat
     return a.join(b, ["company_id", "event_type", "bucket"]).filter((F.col("id_b") < F.col("id_a")) & (gap <= days * 86_400_000_000)).select("id_a", "id_b", "company_id", "event_type")
 
 
-def same_titles(a: set, b: set, overlap: float) -> bool:
-    """Whether two titles, neither without tokens, share more than ``overlap`` of the longer one's."""
-    return bool(a and b) and len(a & b) / max(len(a), len(b)) > overlap
-
-
-def dedup_events(reports: DataFrame, days: int = 14, overlap: float = 0.6) -> DataFrame:
-    """id, canonical_id: each report in arrival order joins the first leader of its company and type within ``days`` whose title overlaps, else leads.
+def dedup_events(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OVERLAP) -> DataFrame:
+    """id, canonical_id: each report in arrival order joins the first leader of its company and type within ``days`` that is of the same event, else leads.
 
-    Blocks are cut where neighbouring reports lie more than ``days`` apart, across which none can match, so a block is small and exact.
+    Rounds, amounts, persons, roles, cities and targets decide where the type has them (``extraction.same_event``), titles otherwise. Blocks are cut where neighbouring reports lie more than ``days`` apart, across which none can match, so a block is small and exact.
     """
     w = Window.partitionBy("company_id", "event_type").orderBy("observed_at", "id")
     t = F.unix_micros(F.col("observed_at").cast("timestamp"))
-    rows = reports.select("id", "company_id", "event_type", t.alias("t"), T.title_tokens(F.coalesce("title", F.lit(""))).alias("tokens"), F.coalesce(t - F.lag(t).over(w), F.lit(0)).alias("gap"))
+    rows = reports.select("id", "company_id", "event_type", t.alias("t"), *E.facts(reports), F.coalesce(t - F.lag(t).over(w), F.lit(0)).alias("gap"))
     rows = rows.withColumn("block", F.sum((F.col("gap") > days * 86_400_000_000).cast("long")).over(Window.partitionBy("company_id", "event_type").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, leaders = None, []
         for pdf in batches:
             out = []
-            for k, i, at, tokens in zip(zip(pdf["company_id"], pdf["event_type"], pdf["block"], strict=True), pdf["id"], pdf["t"], pdf["tokens"], strict=True):
+            facts = zip(*(pdf[c] for c in E.FACT_COLUMNS), strict=True)
+            for k, i, at, f in zip(zip(pdf["company_id"], pdf["event_type"], pdf["block"], strict=True), pdf["id"], pdf["t"], facts, strict=True):
                 if k != key:
                     key, leaders = k, []
-                own = set(tokens)
-                same = (j for j, bt, other in leaders if abs(at - bt) <= days * 86_400_000_000 and same_titles(own, other, overlap))
+                own = as_facts(f)
+                same = (j for j, bt, other in leaders if abs(at - bt) <= days * 86_400_000_000 and E.same_facts(k[1], own, other, overlap))
                 out.append(next(same, i))
                 if out[-1] == i:
                     leaders.append((i, at, own))
@@ -62,39 +76,159 @@ def dedup_events(reports: DataFrame, days: int = 14, overlap: float = 0.6) -> Da
     return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(lead, "id long, canonical_id long")
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, min_similarity: float = -1.0) -> DataFrame:
-    """query_id, item_id, similarity: the k best items of each query within its label.
+def as_facts(f: tuple) -> tuple:
+    """FACT_COLUMNS with tokens as sets and a missing amount as None."""
+    tokens, round_, amount, person, role, city, target = f
+    return set(tokens), round_, None if amount is None or amount != amount else amount, person, set(role), city, target
+
+
+BLOCK = 2048
+
+
+def _blocked(df: DataFrame, label: str, key: str, name: str) -> DataFrame:
+    """df with ``name``, the number of its row's block in its label, and ``of_name``, how many blocks the label has; a block has about BLOCK rows."""
+    sizes = df.groupBy(label).agg(F.ceil(F.count("*") / BLOCK).alias(f"of_{name}"))
+    return df.join(sizes, label).withColumn(name, F.pmod(F.xxhash64(key), F.col(f"of_{name}")))
+
 
-    Queries are dealt in blocks to every partition of items of the same label; numpy multiplies a block at once and keeps k for each task.
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, min_similarity: float | None = 0.55) -> DataFrame:
+    """query_id, item_id, similarity: the k best items of each query within its label; none below min_similarity unless that is None or not above 0.
+
+    queries: query_id, q, label; items: item_id, v, label. Both are cut into blocks of bounded size by their counts, and each pair of blocks of one label is
+    a group of its own, so a label that holds a third of all items is as many groups as its size asks for. numpy multiplies a pair of blocks at once and keeps k for each query.
+    Null and zero vectors match nothing; ties go to the lesser item_id.
     """
+    q = _blocked(queries.filter("q is not null"), "label", "query_id", "block")
+    i = _blocked(items.filter("v is not null"), "label", "item_id", "part")
+    sizes = lambda df, n: df.select("label", f"of_{n}").distinct()
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{n}") - 1)).alias(n)
+    blocks = sizes(q, "block")
+    q = q.drop("of_block").join(sizes(i, "part"), "label").select("label", "block", spread("part"), "query_id", "q")
+    i = i.drop("of_part").join(blocks, "label").select(F.col("label").alias("i_label"), F.col("part").alias("i_part"), spread("block"), "item_id", "v").withColumnRenamed("block", "i_block")
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        a, b = np.array(qs["q"].tolist(), float), np.array(vs["v"].tolist(), float)
+        norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        s = np.divide(a @ b.T, norm, out=np.full(norm.shape, -2.0), where=norm > 0)
+        ids, out = vs["item_id"].to_numpy(), []
+        for row, x in zip(s, qs["query_id"], strict=True):
+            order = np.lexsort((ids, -row))[:k]
+            order = order[row[order] > -2]
+            out.append(pd.DataFrame({"query_id": x, "item_id": ids[order], "similarity": row[order]}))
+        return pd.concat(out)
+
+    key = ["label", "part", "block"]  # two names for each, as both sides may come of one table
+    rows = q.groupBy(*key).cogroup(i.groupBy(*[f"i_{c}" for c in key])).applyInPandas(best, "query_id long, item_id long, similarity double")
+    rows = rows.filter(F.col("similarity") >= min_similarity) if min_similarity is not None and min_similarity > 0 else rows
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    q = queries.groupBy("label", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    i = items.groupBy("label", F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("item_id", "v")).alias("vs"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, vs in zip(pdf["qs"], pdf["vs"], strict=True):
-                a, b = (np.array([x[c] for x in xs], float) for xs, c in ((qs, "q"), (vs, "v")))
-                norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-                s = np.divide(a @ b.T, norm, out=np.full(norm.shape, -2.0), where=norm > 0)
-                ids = np.array([x["item_id"] for x in vs])
-                for row, x in zip(s, qs, strict=True):
-                    order = np.lexsort((ids, -row))[:k]
-                    yield pd.DataFrame({"query_id": x["query_id"], "item_id": ids[order], "similarity": row[order]})
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
-    rows = q.join(i, "label").select("qs", "vs").mapInPandas(best, "query_id long, item_id long, similarity double")
-    return rows.filter(F.col("similarity") >= min_similarity).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
+def match_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 20, min_similarity: float | None = 0.55, *, seniority: str | None = None, work_mode: str | None = None) -> DataFrame:
+    """resume_id, job_id, similarity, place: the k best active jobs of each résumé among those of its own role families.
 
-def _occurrences(words: str, term: str) -> Column:
+    resumes: id, parsed_role_families, embedding; jobs: id, role_family, embedding, is_active, seniority, work_mode. A résumé without families is held against every family.
+    """
+    fit = jobs.filter("is_active")
+    for c, v in (("seniority", seniority), ("work_mode", work_mode)):
+        fit = fit.filter(F.col(c) == v) if v is not None else fit
+    families = fit.select(F.coalesce("role_family", F.lit("other")).alias("label")).distinct()
+    none = F.size(F.coalesce("parsed_role_families", F.expr("CAST(array() AS array<string>)"))) == 0
+    some = resumes.filter(~none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.array_distinct("parsed_role_families")).alias("label"))
+    every = resumes.filter(none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(families.limit(len(E.ROLE_FAMILIES))))
+    items = fit.select(F.col("id").alias("item_id"), F.col("embedding").alias("v"), F.coalesce("role_family", F.lit("other")).alias("label"))
+    found = vector_topk(some.unionByName(every), items, k, min_similarity)
+    return found.select(F.col("query_id").alias("resume_id"), F.col("item_id").alias("job_id"), "similarity", "place")
+
+
+# English words that a search passes over.
+SEARCH_STOPWORDS = frozenset(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for "
+    "with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all "
+    "any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+)
+_WORD = "[^a-z0-9]+"
+
+
+def _measure(stem: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    kinds = ["v" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "c" for i, c in enumerate(stem)]
+    return sum(a == "v" and b == "c" for a, b in zip(kinds, kinds[1:], strict=False))
+
+
+def _has_vowel(stem: str) -> bool:
+    return any(c in "aeiou" or (c == "y" and i) for i, c in enumerate(stem))
+
+
+def _short(stem: str) -> bool:
+    """Ends in consonant, vowel, consonant, the last not w, x or y."""
+    return len(stem) > 2 and stem[-1] not in "aeiouwxy" and (stem[-2] in "aeiou" or stem[-2] == "y") and stem[-3] not in "aeiou"
+
+
+# Suffixes of the published algorithm and what becomes of them.
+STEP_2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+@lru_cache(65_536)
+def stem(word: str) -> str:
+    """The stem of an English word in lower case, by Porter's published steps."""
+    w = word
+    if len(w) < 3:
+        return w
+    if w.endswith("s"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w if w.endswith("ss") else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) else w
+    elif (cut := next((x for x in ("ed", "ing") if w.endswith(x)), None)) and _has_vowel(w[: -len(cut)]):
+        w = w[: -len(cut)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _short(w):
+            w += "e"
+    if w.endswith("y") and _has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (STEP_2, STEP_3):
+        hit = max((x for x in table if w.endswith(x[0])), key=lambda x: len(x[0]), default=None)
+        if hit and _measure(w[: -len(hit[0])]):
+            w = w[: -len(hit[0])] + hit[1]
+    hit = max((x for x in STEP_4 if w.endswith(x)), key=len, default=None)
+    if hit:
+        root = w[: -len(hit) + 1] if hit in ("sion", "tion") else w[: -len(hit)]
+        w = root if _measure(root) > 1 else w
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [stem(w) for w in ws])
+
+
+def _times(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
 
-def text_search(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc_id, rank: documents that hold every term, ranked by BM25; counts cover all documents."""
-    terms = sorted({t.lower() for t in terms})
-    tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select("doc_id", tokens.alias("w")).select("doc_id", F.size("w").alias("n"), *[_occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+def text_search(docs: DataFrame, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id, rank: documents (doc_id, text) that hold every term of q, ranked by BM25; counts cover all documents.
+
+    Words are runs of a-z and 0-9 in lower case; stopwords go, and words count by their stem. Only words that begin like a term are stemmed, so
+    few leave the JVM. A q of stopwords alone finds nothing.
+    """
+    terms = sorted({stem(t) for t in re.split(_WORD, q.lower()) if t and t not in SEARCH_STOPWORDS})
+    if not terms:
+        return docs.select("doc_id", F.lit(0.0).alias("rank")).limit(0)
+    tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _WORD), lambda w: (w != "") & ~w.isin(*SEARCH_STOPWORDS))
+    begins = lambda w: reduce(Column.__or__, [w.startswith(t[: max(1, len(t) - 1)]) for t in terms])
+    rows = docs.select("doc_id", tokens.alias("w")).select("doc_id", F.size("w").alias("n"), F.filter("w", begins).alias("w"))
+    rows = rows.withColumn("w", _stems("w")).select("doc_id", "n", *[_times("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     total = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     rows = rows.join(F.broadcast(total))
     score = F.lit(0.0)
@@ -105,11 +239,24 @@ def text_search(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0
     return rows.select("doc_id", score.alias("rank"))
 
 
+def search_jobs(jobs: DataFrame, companies: DataFrame, q: str) -> DataFrame:
+    """Active jobs whose title and description hold every term of q, with their company; best first, then newest."""
+    text = F.concat_ws(" ", "title", F.coalesce("description_text", F.lit("")))
+    found = text_search(jobs.filter("is_active").select(F.col("id").alias("doc_id"), text.alias("text")), q).withColumnRenamed("doc_id", "id")
+    named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), F.col("slug").alias("company_slug"))
+    return jobs.join(found, "id").join(named, "company_id").orderBy(F.desc("rank"), F.desc("first_seen_at"), "id")
+
+
 def merge_evidence(reports: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Per canonical event: distinct evidence URLs, and how many reports brought one not seen before."""
-    rows = reports.join(canonical, "id")
-    first = rows.groupBy("canonical_id", "source_url").agg(F.min("id").alias("first"))
-    return first.groupBy("canonical_id").agg(F.count_if(F.col("source_url").isNotNull()).alias("urls"), F.count("*").alias("source_count"))
+    """canonical_id, urls, source_count, confidence, evidence of each canonical event: a report whose URL was seen before changes nothing, not even the confidence.
+
+    confidence is the greatest of the reports that brought a new URL (null without such a column); evidence their URLs in the order they came.
+    """
+    sure = F.col("confidence") if "confidence" in reports.columns else F.lit(None).cast("double")
+    rows = reports.select("id", "source_url", sure.alias("confidence")).join(canonical, "id")
+    first = rows.groupBy("canonical_id", "source_url").agg(F.min("id").alias("first"), F.min_by("confidence", "id").alias("confidence"))
+    evidence = F.transform(F.array_sort(F.collect_list(F.when(F.col("source_url").isNotNull(), F.struct("first", "source_url")))), lambda e: e["source_url"])
+    return first.groupBy("canonical_id").agg(F.count_if(F.col("source_url").isNotNull()).alias("urls"), F.count("*").alias("source_count"), F.max("confidence").alias("confidence"), evidence.alias("evidence"))
 
 
 def embed_table(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float] | None]], dim: int, batch: int = 50) -> DataFrame:

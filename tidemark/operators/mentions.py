@@ -9,16 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LEAST_NAME, SHORT_NAME, CUE_WINDOW = 3, 4, 120
 # Names that are ordinary words, and the cues that mark such a word as a company.
 ORDINARY = ("cred", "digit", "element", "emergent", "glance", "hike", "linear", "locus", "meta", "middleware", "notion", "open", "porter", "raise", "ramp", "slice", "snap", "turing", "zeta", "zone")
-CUES = (
-    r"raise[ds]?|raising|funding|funded|round|series\s+[a-e]|seed|valuation|investors?|invests?|invested|backed|acquir\w+|merger|ipo|startup|start-up|company|firm|platform|unicorn|founders?|"
+CUE = (
+    r"\b(?:raise[ds]?|raising|funding|funded|round|series\s+[a-e]|seed|valuation|investors?|invests?|invested|backed|acquir\w+|merger|ipo|startup|start-up|company|firm|platform|unicorn|founders?|"
     r"co-founder|ceo|cto|cfo|coo|hir(?:ing|es|ed)|headcount|employees|engineers?|engineering|recruit\w*|onboard\w*|team|staff|announced|launches|launched|expands?|expansion|appoints?|appointed|"
-    r"exits?|departs?|departure|resign\w*|steps\s+down|joins?|joined|promoted|elevated|named|leaves|leaving|crore|lakh|million|billion"
+    r"exits?|departs?|departure|resign\w*|steps\s+down|joins?|joined|promoted|elevated|named|leaves|leaving|crore|lakh|million|billion)\b|[$₹]\s?\d"
 )
-CURRENCY = r"[$₹]\s?\d"
 MENTION = "doc_id long, company_id long, name string, matched string, mentions long, first_position long, distinctive boolean, rank long"
 
 
@@ -30,6 +30,29 @@ def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([m.start() for m in re.finditer(r"(?<![\w.])(?=\S)", text)], np.int64), ends
 
 
+def _anchors(text: str, starts: list[int]) -> set[str]:
+    """What an index of names is entered by at each start: the text through its first word, and through its second; a sign also alone."""
+    ends, out, at = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)], set(), 0
+    for s in starts:
+        while at < len(ends) and ends[at][0] < s:
+            at += 1
+        out.update(text[s : e].lower() for _, e in ends[at : at + 2])
+        if at == len(ends) or ends[at][0] > s:
+            out.add(text[s].lower())
+    return out
+
+
+def _anchor(key: str) -> str:
+    """The entry of a spelling: through its second word, or its first if it has one, or its first sign."""
+    ends = [m.end() for m in re.finditer(r"\w+", key)][:2]
+    return key[: ends[-1]] if ends else key[0]
+
+
+@F.pandas_udf(StringType())
+def _anchor_of(key: pd.Series) -> pd.Series:
+    return key.map(_anchor)
+
+
 def spellings(companies: DataFrame) -> DataFrame:
     """key, company_id, name, spelling: a row for each lower-case name or alias of three characters or more. One that two companies claim names neither (null company_id)."""
     every = F.concat(F.array("name"), F.coalesce("aliases", F.expr("CAST(array() AS array<string>)")))
@@ -53,7 +76,7 @@ def _mentions(text: str, entries: list[dict]) -> list[tuple]:
         if e["company_id"] is None or pd.isna(e["company_id"]):
             continue
         plain = e["key"] not in ORDINARY and len(e["key"]) > SHORT_NAME
-        if not plain and (hit != e["spelling"] or not re.search(rf"\b(?:{CUES})\b|{CURRENCY}", text[max(0, s - CUE_WINDOW) : at + CUE_WINDOW], re.IGNORECASE)):
+        if not plain and (hit != e["spelling"] or not re.search(CUE, text[max(0, s - CUE_WINDOW) : at + CUE_WINDOW], re.IGNORECASE)):
             continue
         found.setdefault(e["company_id"], [int(e["company_id"]), e["name"], hit, 0, s, plain])[3] += 1
     return sorted(map(tuple, found.values()), key=lambda m: (not m[5], -m[3], m[4], -len(m[2])))
@@ -62,21 +85,17 @@ def _mentions(text: str, entries: list[dict]) -> list[tuple]:
 def find_mentions(docs: DataFrame, companies: DataFrame) -> DataFrame:
     """A row for each document (unique doc_id, text) and company (id, name, aliases) named in it; rank 1 is the likeliest subject.
 
-    Runs of text that could be a name by length and word boundaries meet the spellings in an equi-join, so no spelling is compared with every document and
-    none travels to every task; only texts with a hit are then read in order, each with the few spellings it holds. The driver sees the distinct lengths of
-    names alone, at most as many as the longest name has characters. Null or empty texts and names give no rows.
+    Spellings are entered by their first two words; a document's distinct one and two words at places where a name may start meet them in an equi-join, so no
+    spelling is compared with every document and none travels to every task; only texts with a hit are then read in order, each with the few spellings
+    it may hold. Null or empty texts and names give no rows.
     """
-    index = spellings(companies)
-    lengths = np.array(sorted(r[0] for r in index.select(F.length("spelling")).distinct().collect()), np.int64)
+    index = spellings(companies).withColumn("anchor", _anchor_of("key"))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                (starts, ends), held = _places(text), set()
-                for n in lengths:
-                    fit = starts[starts + n <= len(text)]
-                    held.update(text[s : s + n].lower() for s in fit[ends[fit + n]].tolist())
-                yield pd.DataFrame({"doc_id": i, "key": list(held)}, columns=["doc_id", "key"]).astype({"doc_id": "int64", "key": object})
+                held = _anchors(text, _places(text)[0].tolist())
+                yield pd.DataFrame({"doc_id": i, "anchor": list(held)}, columns=["doc_id", "anchor"]).astype({"doc_id": "int64", "anchor": object})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,7 +103,7 @@ def find_mentions(docs: DataFrame, companies: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTION.split(", ")])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") >= LEAST_NAME)
-    hits = texts.mapInPandas(runs, "doc_id long, key string").join(index, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "company_id", "name", "spelling")).alias("entries"))
+    hits = texts.mapInPandas(runs, "doc_id long, anchor string").join(index, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("key", "company_id", "name", "spelling")).alias("entries"))
     return texts.join(hits, "doc_id").mapInPandas(scan, MENTION)
 
 

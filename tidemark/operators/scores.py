@@ -9,9 +9,17 @@ from pyspark.sql.window import Window
 from tidemark.functions import scoring as S
 
 
+def with_factor(events: DataFrame) -> DataFrame:
+    """Events with ``factor``, that of the best tier of their evidence: of an array ``evidence`` if there is one, else of ``source_url``; a ``domain`` marks the company's own."""
+    domain = F.col("domain") if "domain" in events.columns else None
+    if "evidence" in events.columns:
+        return events.withColumn("factor", S.best_tier_factor(F.transform("evidence", lambda e: e["source_url"]), domain))
+    return events.withColumn("factor", S.tier_factor(S.source_tier(F.col("source_url"), domain)))
+
+
 def weighted(events: DataFrame, as_of: Column) -> DataFrame:
-    ts = S.effective_time(F.col("occurred_at"), F.col("observed_at"))
-    factor = S.tier_factor(S.source_tier(F.col("source_url")))
+    ts, factor = S.effective_time(F.col("occurred_at"), F.col("observed_at")), F.col("factor")
+    events = events if "factor" in events.columns else with_factor(events)
     return events.withColumn("effective", ts).withColumn("weight", S.event_weight(F.col("event_type"), ts, as_of, F.col("source_count"), factor))
 
 
@@ -30,12 +38,23 @@ def momentum_scores(events: DataFrame, companies: DataFrame, as_of: Column) -> D
     return out.fillna({"momentum_score": 0.0, "momentum_label": "none", "signal_strength": 0.0, "n_events": 0})
 
 
+def momentum_report(events: DataFrame, companies: DataFrame, prev_scores: DataFrame, as_of: Column) -> DataFrame:
+    """``momentum_scores`` of public events over all their evidence, with contributing_event_ids (heaviest first) and score_delta (null for a company's first score)."""
+    public = events.filter(F.col("is_canonical") & (F.col("status") == "active")).join(companies.select(F.col("id").alias("company_id"), F.col("canonical_domain").alias("domain")), "company_id", "left")
+    seen = weighted(public, as_of).filter(F.col("effective") >= as_of - F.expr(f"INTERVAL {S.LOOKBACK_DAYS} DAYS"))
+    ids = seen.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("w"), "id"))), lambda x: x["id"]).alias("contributing_event_ids"))
+    before = latest_per_key(prev_scores.select("company_id", "scored_at", F.col("momentum_score").alias("before")), ["company_id"], ["scored_at"]).select("company_id", "before")
+    rows = momentum_scores(seen.drop("effective", "weight"), companies, as_of).join(ids, "company_id", "left").join(before, "company_id", "left")
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return rows.withColumn("contributing_event_ids", F.coalesce("contributing_event_ids", none)).withColumn("score_delta", F.col("momentum_score") - F.col("before")).drop("before")
+
+
 def score_series(events: DataFrame, grid: list[str]) -> DataFrame:
     """company_id, scored_at (of the grid's dates) and score; an event counts from when it was observed. Each event meets only its grid dates."""
     dates = F.array(*[F.lit(d).cast("timestamp_ntz") for d in grid])
     ts = S.effective_time(F.col("occurred_at"), F.col("observed_at"))
     live = F.filter(dates, lambda d: (d >= F.col("observed_at")) & (ts >= d - F.expr(f"INTERVAL {S.LOOKBACK_DAYS} DAYS")))
-    rows = weighted(events.withColumn("scored_at", F.explode(live)), F.col("scored_at"))
+    rows = weighted(with_factor(events).withColumn("scored_at", F.explode(live)), F.col("scored_at"))
     return _scored(rows, ["company_id", "scored_at"], F.col("scored_at"))
 
 
@@ -57,7 +76,8 @@ def score_movement(scores: DataFrame, since: Column) -> DataFrame:
     return out.withColumn("delta", F.col("latest") - F.coalesce("baseline", F.lit(0.0)))
 
 
-def score_history(scores: DataFrame, n: int) -> DataFrame:
-    """The last n scores of each company with their place, newest first."""
+def score_history(scores: DataFrame, n: int, days: int | None = None, as_of: Column | None = None) -> DataFrame:
+    """The last n scores of each company, of the last ``days`` if given, with their place, newest first."""
+    scores = scores.filter(F.col("scored_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")) if days is not None else scores
     w = Window.partitionBy("company_id").orderBy(F.desc("scored_at"))
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)

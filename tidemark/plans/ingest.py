@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import mentions as M
 from tidemark.operators import pages as P
-from tidemark.plans.queries import query
+from tidemark.plans.queries import _limited, query
 from tidemark.sources import adapters as A
 from tidemark.sources import vendors as V
 from tidemark.streaming import changes as ST
@@ -47,9 +47,9 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the pages with their navigation taken for content: at sf0.001 no anchor stands elsewhere, so the plain operator gives no rows there."""
-    pages = A.table(spark, d, "pages").select("page_id", "url", F.regexp_replace("html", r"(?i)<(/?)nav\b", "<$1div").alias("html"))
-    return P.extract_links(pages)
+    """Links of the pages, each with two of its own after it, as many pages keep all theirs in their navigation."""
+    own = F.concat(F.lit('<p><a href="/p/'), F.col("page_id").cast("string"), F.lit('"> Page <b>one</b></a> <a href="#top">top</a><a href="next">next</a></p>'))
+    return P.extract_links(A.table(spark, d, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), own).alias("html")))
 
 
 _URL = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'http://172.' || (page_id % 64) || '.0.1:80/x#f' WHEN 2 THEN 'ftp://a.example/' WHEN 3 THEN 'HTTP://API.LocalHost/a' WHEN 4 THEN ' HTTPS://User@Ex.Example/P?q#z' ELSE 'http://[::ffff:10.0.0.1]/' END"
@@ -93,9 +93,9 @@ def explain_match(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select("p_partkey", F.array_join(T.explain_match(resume, job, size / 100), "|").alias("reasons"))
 
 
-@query()
+@query(_limited(1))
 def throttle(spark: SparkSession, d: str) -> DataFrame:
-    return ST.throttle(A.table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86_400)
+    return ST.throttle(A.table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "allowed")
 
 
 _VENDOR = "CASE o_orderkey % 4 WHEN 0 THEN 'newsapi' WHEN 1 THEN 'gnews' WHEN 2 THEN 'google_jobs' ELSE 'serpapi' END"

@@ -198,7 +198,7 @@ def _like_any(parts: tuple[str, ...]) -> str:
 _RATIO = "CASE WHEN length({0}) > 0 THEN (length({0}) - length(translate({0}, '<>/{{}}[]', ''))) / length({0}) ELSE 0 END"
 
 
-@query(f"SELECT doc_id, CASE WHEN length(t) < 100 THEN 'short' WHEN {_RATIO.format('t')} > 0.3 THEN 'markup' WHEN {_like_any(T.INCLUDE)} THEN 'include' WHEN {_like_any(T.EXCLUDE)} THEN 'exclude' ELSE 'unmatched' END AS reason FROM (SELECT doc_id, lower(trim(coalesce(text, ''))) AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN length(t) < 100 THEN 'short' WHEN {_RATIO.format('t')} > 0.3 THEN 'markup' WHEN {_like_any(T.INCLUDE)} THEN 'include' WHEN {_like_any(T.EXCLUDE)} THEN 'exclude' ELSE 'unmatched' END AS reason FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')) AS t FROM documents)")
 def prefilter_documents(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id", T.prefilter(F.col("text"), F.col("source")).alias("reason"))
 
@@ -283,11 +283,15 @@ def content_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT user_id, event_type = 'error' AS bad, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events),
-a AS (SELECT user_id, g, count(*) FILTER (WHERE bad) AS f, count(*) AS n FROM i GROUP BY ALL), l AS (SELECT user_id, arg_max(f, g) AS c, sum(n) AS fetches, sum(f) AS failures FROM a GROUP BY user_id)
-SELECT user_id, c AS consecutive_failures, CAST(fetches AS BIGINT) AS fetches, CAST(failures AS BIGINT) AS failures, CASE WHEN c = 0 THEN 1440 ELSE least(1440 * pow(2, c), 10080)::BIGINT END AS next_minutes, c >= 10 AS disabled FROM l""")
+a AS (SELECT user_id, g, count(*) FILTER (WHERE bad) AS f, count(*) AS n FROM i GROUP BY ALL), l AS (SELECT user_id, arg_max(f, g) AS c, sum(n) AS fetches, sum(f) AS failures FROM a GROUP BY user_id),
+e AS (SELECT user_id, arg_max(value > 50, (ts, event_id)) AS changed, arg_max('http ' || CAST(floor(value) AS BIGINT), (ts, event_id)) AS why, arg_max(event_type = 'view', (ts, event_id)) AS last_limited, count(*) FILTER (WHERE event_type = 'view') AS rate_limited FROM events GROUP BY 1)
+SELECT user_id, c AS consecutive_failures, CAST(fetches AS BIGINT) AS fetches, CAST(failures AS BIGINT) AS failures, CASE WHEN c = 0 AND (NOT changed OR last_limited) THEN 2160 WHEN c = 0 THEN 1440 ELSE least(1440 * pow(2, c), 10080)::BIGINT END AS next_minutes, c >= 10 AS disabled,
+CASE WHEN c > 0 THEN why END AS failure_reason, rate_limited FROM l JOIN e USING (user_id)""")
 def source_health(spark: SparkSession, d: str) -> DataFrame:
-    logs = A.table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
-    return N.source_health(logs, "user_id", ["ts", "event_id"], "failed")
+    e = A.table(spark, d, "events")
+    kind, why = F.col("event_type"), F.concat(F.lit("http "), F.floor("value").cast("string"))
+    logs = e.withColumns({"failed": kind == "error", "changed": F.col("value") > 50, "why": why, "limited": kind == "view"})
+    return N.source_health(logs, "user_id", ["ts", "event_id"], "failed", changed="changed", reason="why", limited="limited")
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, least(count(*), 3) AS allowed, 3 - least(count(*), 3) AS remaining FROM events GROUP BY ALL")
@@ -311,9 +315,15 @@ def register_new(spark: SparkSession, d: str) -> DataFrame:
     return N.register_new(known, A.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), "k", ["o_orderkey"])
 
 
-@query(sql("co", body="SELECT c_custkey, co.id AS company_id FROM customer LEFT JOIN co ON lower(c_name) = lower(co.name)"))
+_NAMES = """CASE c_custkey % 7 WHEN 0 THEN ' https://www.' || s || '.example/jobs?x=1' WHEN 1 THEN upper(c_name) WHEN 2 THEN 'Alias ' || c_custkey WHEN 3 THEN 'alias ' || c_custkey
+WHEN 4 THEN replace(c_name, '#', ' / ') WHEN 5 THEN 'Nobody ' || c_custkey ELSE s || '.example' END"""
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 7 IN (3, 5) THEN NULL ELSE c_custkey END AS company_id FROM (SELECT c_custkey, {_NAMES} AS m FROM (SELECT *, regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS s FROM customer))")
 def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
-    return M.resolve_entities(A.table(spark, d, "customer").select("c_custkey", "c_name"), A.companies(spark, d), "c_name").select("c_custkey", "company_id")
+    """Mentions by domain, name in capitals, alias, alias in the wrong case (a miss), a spelling with the right slug, a stranger (a miss), bare domain."""
+    c = A.table(spark, d, "customer").withColumn("s", F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", "-"))
+    return M.resolve_entities(c.select("c_custkey", F.expr(_NAMES).alias("m")), A.profiles(spark, d), "m").select("c_custkey", "company_id")
 
 
 @query(sql("ev", body="SELECT a.id AS id_a, b.id AS id_b, a.company_id, a.event_type FROM ev a JOIN ev b ON a.company_id = b.company_id AND a.event_type = b.event_type AND b.id < a.id AND abs(epoch_us(a.observed_at) - epoch_us(b.observed_at)) <= 86400000000"))
@@ -322,15 +332,25 @@ def dedup_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.dedup_candidates(e, e, days=1)
 
 
-@query()
+_SAME = """CASE event_type WHEN 'funding' THEN l.f_round = x.f_round AND (l.f_amount IS NULL OR x.f_amount IS NULL OR least(l.f_amount, x.f_amount) <= 0 OR abs(l.f_amount - x.f_amount) / greatest(l.f_amount, x.f_amount) <= 0.2)
+WHEN 'leadership_change' THEN l.f_person = x.f_person AND (l.f_role = '' OR x.f_role = '' OR l.f_role = x.f_role) WHEN 'new_office' THEN x.f_city <> '' AND l.f_city = x.f_city WHEN 'acquisition' THEN x.f_target <> '' AND l.f_target = x.f_target ELSE l.f_title = x.f_title END"""
+_LED = f"""nr AS (SELECT company_id, event_type, row_number() OVER (PARTITION BY company_id, event_type ORDER BY id) AS n,
+  struct_pack(id := id, t := epoch_us(observed_at), f_title := f_title, f_round := f_round, f_amount := f_amount, f_person := f_person, f_role := f_role, f_city := f_city, f_target := f_target) AS x FROM rp),
+  ld AS (SELECT company_id, event_type, n, [x] AS leaders, x.id AS id, x.id AS canonical_id FROM nr WHERE n = 1 UNION ALL
+    SELECT company_id, event_type, n, CASE WHEN m IS NULL THEN list_append(leaders, x) ELSE leaders END, x.id, coalesce(m, x.id) FROM (
+      SELECT nr.company_id, nr.event_type, nr.n, leaders, x, list_filter(leaders, lambda l: abs(l.t - x.t) <= 1209600000000 AND {_SAME.replace('event_type', 'nr.event_type', 1)})[1].id AS m
+      FROM ld JOIN nr ON nr.company_id = ld.company_id AND nr.event_type = ld.event_type AND nr.n = ld.n + 1))"""
+
+
+@query(sql("ev", "rp", _LED, body="SELECT id, canonical_id FROM ld").replace("WITH", "WITH RECURSIVE", 1))
 def dedup_events(spark: SparkSession, d: str) -> DataFrame:
-    return M.dedup_events(A.events(spark, d).withColumn("title", F.concat_ws(" ", "event_type", (F.col("k") % 3).cast("string"))), days=1)
+    return M.dedup_events(A.reports(spark, d))
 
 
-@query()
+@query(sql("ev", "rp", _LED, "fs AS (SELECT canonical_id, source_url, min(rp.id) AS first, arg_min(confidence, rp.id) AS confidence FROM rp JOIN ld ON ld.id = rp.id GROUP BY ALL)",
+     body="SELECT canonical_id, count(source_url) AS urls, count(*) AS source_count, max(confidence) AS confidence, coalesce(string_agg(source_url, ' ' ORDER BY first), '') AS evidence FROM fs GROUP BY canonical_id").replace("WITH", "WITH RECURSIVE", 1))
 def merge_evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = A.events(spark, d)
-    return M.merge_evidence(e, dedup_events(spark, d))
+    return M.merge_evidence(A.reports(spark, d), dedup_events(spark, d)).withColumn("evidence", F.array_join("evidence", " "))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0)
@@ -338,25 +358,54 @@ SELECT query_id, item_id, round(s, 6) AS similarity FROM (SELECT *, row_number()
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    return M.vector_topk(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label"), 5).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    return M.vector_topk(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label"), 5, None).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(M.SEARCH_STOPWORDS))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM w),
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^hand(s|ed|ing|ings)?$'))) AS a, len(list_filter(w, lambda x: regexp_matches(x, '^thing(s|ed|ing|ings)?$'))) AS b FROM w),
 t AS (SELECT count(*) AS d, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS fa, count(*) FILTER (WHERE b > 0) AS fb FROM c)
 SELECT doc_id, round(ln(1 + (d - fa + 0.5) / (fa + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (d - fb + 0.5) / (fb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS rank FROM c, t WHERE a > 0 AND b > 0""")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    return M.text_search(A.table(spark, d, "documents").select("doc_id", "text"), ["with", "the"]).select("doc_id", F.round("rank", 6).alias("rank"))
+    return M.text_search(A.table(spark, d, "documents").select("doc_id", "text"), "the Handed things").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query(sql("co", "ro", """w AS (SELECT id, company_id, regexp_split_to_array(lower(title || ' ' || description_text), '[^a-z0-9]+') AS w FROM ro WHERE is_active)""",
+     body="SELECT w.id, co.name AS company_name FROM w JOIN co ON co.id = company_id WHERE len(list_filter(w, lambda x: x IN ('engineer', 'engineering', 'engineers'))) > 0 AND list_contains(w, 'urgent')"))
+def search_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return M.search_jobs(A.roles(spark, d), A.companies(spark, d), "an urgent ENGINEERS").select("id", "company_name")
+
+
+@query("""WITH f AS (SELECT vec_id, label, embedding, vec_id % 25 = 0 AS q FROM embeddings), p AS (SELECT a.vec_id AS resume_id, b.vec_id AS job_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+FROM f a JOIN f b ON b.vec_id % 4 <> 0 AND (a.vec_id % 2 = 0 OR b.label IN (a.label, (a.label + 1) % 10)) WHERE a.q)
+SELECT resume_id, job_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY s DESC, job_id) AS place FROM p WHERE s >= 0.1) WHERE place <= 5""")
+def match_jobs(spark: SparkSession, d: str) -> DataFrame:
+    e, family = A.table(spark, d, "embeddings"), F.col("label").cast("string")
+    families = F.when(F.col("vec_id") % 2 == 1, F.array(family, ((F.col("label") + 1) % 10).cast("string")))
+    resumes = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("id"), families.alias("parsed_role_families"), "embedding")
+    jobs = e.select(F.col("vec_id").alias("id"), family.alias("role_family"), "embedding", (F.col("vec_id") % 4 != 0).alias("is_active"))
+    return M.match_jobs(resumes, jobs, 5, 0.1).select("resume_id", "job_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _limited(n: int) -> str:
+    """Calls in turn, with the last n allowed times of each user."""
+    return f"""WITH RECURSIVE c AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_id, user_id, n, [t] AS held, true AS allowed FROM c WHERE n = 1 UNION ALL
+  SELECT event_id, user_id, n, CASE WHEN len(near) < {n} THEN list_append(near, t) ELSE near END, len(near) < {n} FROM (
+    SELECT c.event_id, c.user_id, c.n, c.t, list_filter(held, lambda h: c.t - h < 86400000000) AS near FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1))
+SELECT event_id, user_id, allowed FROM s"""
 
 
-@query()
+@query(_limited(2))
 def sliding_limit(spark: SparkSession, d: str) -> DataFrame:
     return ST.sliding_limit(A.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 2, 86_400, "event_id").select("event_id", "user_id", "allowed")
 
 
 def _load() -> None:
     """Imports the modules whose queries register themselves here."""
-    from tidemark.plans import ingest  # noqa: F401
+    from tidemark.plans import extracted, ingest, listings  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -365,7 +365,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(M.SEARCH_STOPWORDS))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^hand(s|ed|ing|ings)?$'))) AS a, len(list_filter(w, lambda x: regexp_matches(x, '^thing(s|ed|ing|ings)?$'))) AS b FROM w),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^hand(s|es|ed|ing|ings)?$'))) AS a, len(list_filter(w, lambda x: regexp_matches(x, '^thing(s|es|ed|ing|ings)?$'))) AS b FROM w),
 t AS (SELECT count(*) AS d, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS fa, count(*) FILTER (WHERE b > 0) AS fb FROM c)
 SELECT doc_id, round(ln(1 + (d - fa + 0.5) / (fa + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (d - fb + 0.5) / (fb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS rank FROM c, t WHERE a > 0 AND b > 0""")
 def text_search(spark: SparkSession, d: str) -> DataFrame:

@@ -80,7 +80,8 @@ def run_incremental(fetches: DataFrame, last_hashes: Callable[[], DataFrame], wr
         rows = N.content_changes(batch, "source_id", ["fetched_at"], "text").join(last, "source_id", "left")
         # a source's first fetch of the batch is compared with what was stored, the others with the one before them
         first = F.col("fetched_at") == F.min("fetched_at").over(N.Window.partitionBy("source_id"))
-        changed = rows.filter(F.when(first, ~F.col("content_hash").eqNullSafe(F.col("__tm_last"))).otherwise(F.col("changed"))).drop("__tm_last", "changed")
+        rows = rows.withColumn("changed", F.when(first, ~F.col("content_hash").eqNullSafe(F.col("__tm_last"))).otherwise(F.col("changed")))
+        changed = rows.filter("changed").drop("__tm_last", "changed")
         relevant = changed.filter(T.passes(T.prefilter(F.col("text"), F.col("source_type"))))
         events = M.route_events(events_of(relevant), companies)
         write({"changed": changed, "events": events, "touched": events.select("company_id").distinct()}, number)

@@ -238,7 +238,8 @@ def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     first = materialise(same.groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "count"), order).alias("r")).select("r.*"), "firsts")
     keys = first.select(F.col("doc_id").alias("__tm_id"), F.col("th").alias("__tm_th"))
     text = F.coalesce(docs["text"], F.lit(""))
-    kept = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["__tm_id"]) & (F.xxhash64(text) == keys["__tm_th"]), "left_semi")
+    # keys grow with the documents, so they are shuffled at every size
+    kept = docs.join(keys.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(keys["__tm_id"]) & (F.xxhash64(text) == keys["__tm_th"]), "left_semi")
     if first.filter("count > 1").isEmpty():
         return kept
     return kept.withColumn("__tm_th", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__tm_th"]).drop("__tm_th")

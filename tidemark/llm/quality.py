@@ -154,4 +154,5 @@ def apply(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that are kept, with their own columns."""
     kept = judge(docs, keep).filter("kept").select(F.col("doc_id").alias("__tm_id"), F.col("th").alias("__tm_th")).distinct()
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__tm_id"]) & (th == kept["__tm_th"]), "left_semi")
+    # keys grow with the documents, so they are shuffled at every size
+    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["__tm_id"]) & (th == kept["__tm_th"]), "left_semi")

@@ -43,6 +43,20 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_step(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the path, so that the caller can ``discard`` the table when nothing reads it any more."""
+    path = new_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables that no later step reads."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Keys that hold more than one row in this many are hot, so there are never more hot keys than that.
 HOT_KEYS = 10_000
 

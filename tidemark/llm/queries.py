@@ -1,4 +1,4 @@
-"""Queries op1_ to op10_ over ``documents``, and the SQL of those that SQL can express."""
+"""Queries op1_ to op10_ over ``documents``, with those of ``vector_queries``, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, lm, mixing, packing, quality, simhash, suffix_dedup, surrogates, token_files
+from . import fingerprint, line_dedup, lm, mixing, packing, quality, simhash, suffix_dedup, surrogates, token_files, vector_queries
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_prefix_fingerprints, op2_cost_packing, op3_poisson_mixing, op4_pii_surrogates, op5_suffix_dedup, op6_lbl_scores, op7_weak_quality, op8_gray_simhash, op9_token_files, op10_line_dedup)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | vector_queries.queries()
 
 
 OP3_SQL = f"""
@@ -90,4 +90,4 @@ FROM k GROUP BY r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_poisson_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL} | vector_queries.oracle_sql()

@@ -1,4 +1,4 @@
-"""Queries op1_ to op10_ over ``documents``, with those of ``vector_queries``, and the SQL of those that SQL can express."""
+"""Queries op1_ to op11_ over ``documents``, with those of ``vector_queries``, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, line_dedup, lm, mixing, packing, quality, simhash, suffix_dedup, surrogates, token_files, vector_queries
+from . import fingerprint, line_dedup, lm, mixing, packing, phrases, quality, simhash, suffix_dedup, surrogates, token_files, vector_queries
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__tm_lines").alias("n_lines"), F.col("__tm_dropped").alias("n_dropped"), F.sha2("__tm_kept", 256).alias("kept_sha256"))
 
 
+def op11_dynamic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_prefix_fingerprints, op2_cost_packing, op3_poisson_mixing, op4_pii_surrogates, op5_suffix_dedup, op6_lbl_scores, op7_weak_quality, op8_gray_simhash, op9_token_files, op10_line_dedup)
+    every = (op1_prefix_fingerprints, op2_cost_packing, op3_poisson_mixing, op4_pii_surrogates, op5_suffix_dedup, op6_lbl_scores, op7_weak_quality, op8_gray_simhash, op9_token_files, op10_line_dedup, op11_dynamic_phrases)
     return {f.__name__: f for f in every} | vector_queries.queries()
 
 
@@ -89,5 +93,25 @@ FROM k GROUP BY r
 """
 
 
+OP11_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, range(1, {phrases.MAX_WORDS} + 1) t(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND n >= {phrases.MIN_COUNT}),
+cut AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.a, cut.cut, x.n AS l, y.n AS r, (2000000::HUGEINT * cut.a // (x.n::HUGEINT + y.n))::BIGINT AS score FROM cut
+    JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.ws[1 : cut.cut], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.ws[cut.cut + 1 : cut.k], ' ')),
+b AS (SELECT lang, phrase, a, arg_min(struct_pack(score := score, l := l, r := r), struct_pack(score := score, cut := cut)) AS b FROM s GROUP BY lang, phrase, a),
+i AS (SELECT lang, a, k, ws, unnest(range(2, k)) AS size FROM c WHERE k >= 3),
+j AS (SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda m: array_to_string(ws[m : m + size - 1], ' '))) AS phrase FROM i),
+o AS (SELECT lang, phrase, max(a) AS around FROM j GROUP BY lang, phrase),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+e AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.b.l AS l, b.b.r AS r, b.b.score AS score
+    FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.around IS NULL OR 100 * o.around::HUGEINT < {phrases.COVERED} * b.a::HUGEINT)
+SELECT e.lang, rank, e.phrase, a, l, r, t.n, score FROM e JOIN t ON t.lang = e.lang WHERE rank <= {phrases.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL} | vector_queries.oracle_sql()
+    return {"op3_poisson_mixing": OP3_SQL, "op10_line_dedup": OP10_SQL, "op11_dynamic_phrases": OP11_SQL} | vector_queries.oracle_sql()

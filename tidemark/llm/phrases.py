@@ -11,8 +11,8 @@ A phrase's start is read from the slots of its two parts. Two phrases that share
 starts never change once set, so each counted phrase is counted over one whole cycle and its count is exact. The table
 is the only thing that is sent to all tasks (three times ``SLOTS`` bytes), and no list of phrases reaches the driver.
 
-Counts are combined for some two million words of a task at a time, then added up by (lang, phrase) with the open counts of earlier scans. Complete
-phrases leave that table, the frequent ones into a table of their own, from which candidates get their cuts, scores and ranks by joins on (lang, phrase).
+Counts are combined for a block of up to two million words of a language at a time, then added up by (lang, phrase) with the open counts of earlier
+scans. Complete phrases leave that table, the frequent ones into a table of their own, from which candidates get their cuts, scores and ranks by joins on (lang, phrase).
 
 Defined results: null text is an empty text, null lang is ``und``; repeated rows count as documents of their own; texts of any length are cut at
 piece ends into slices; ties are ranked by phrase in UTF-8 byte order; an empty table gives an empty table; extra columns are ignored.
@@ -36,12 +36,12 @@ from .common import discard, new_path, write_step
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 #: A candidate goes if a longer phrase around it has at least this share (of 100) of its count.
 COVERED = 80
-SHARDS = 4
+SHARDS = 2
 #: Slots of the activation table for each length; a fixed size, so a larger corpus only lets more phrases through.
 SLOTS = 1 << 22
 NEVER = 255
-#: Words of a block and words combined at once; bytes of a text that are cut at once.
-BLOCK, GATHER, SLICE = 1 << 18, 1 << 21, 1 << 22
+#: Words of a block, and of all blocks that a task has open; bytes of a text that are cut at once.
+BLOCK, OPEN, SLICE = 1 << 21, 1 << 23, 1 << 22
 END, NONE = 0, 1
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _COUNTS = "lang string, k int, start int, phrase string, n long"
@@ -73,7 +73,7 @@ def slices(text: bytes) -> Iterator[bytes]:
 
 
 def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard, lang, vocab, ids: word numbers of whole pieces of a language, with the words they stand for."""
+    """shard, lang, n_words, vocab (in byte order, from 1), hashes, ids: word numbers of whole pieces of a language, 0 between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[Words, list[np.ndarray]]] = {}
@@ -84,8 +84,14 @@ def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             nonlocal made
             (known, ids), _ = open_.pop(lang), size.pop(lang)
             made += 1
-            cols = [pa.array([made % shards], pa.int32()), pa.array([lang]), pa.array([list(known)], pa.list_(pa.binary())), pa.array([np.concatenate(ids).astype("<i4").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "lang", "vocab", "ids"])
+            words, ids = list(known), np.concatenate(ids)
+            order = sorted(range(2, len(words)), key=words.__getitem__)  # in byte order, so that what is sent compresses
+            place = np.zeros(len(words), "<i4")
+            place[order] = np.arange(1, len(words) - 1)
+            ids, words = place[ids], [words[i] for i in order]
+            hashes = np.array([0, *(word_hash(lang, w) for w in words)], "<u8")
+            cols = [pa.array([made % shards], pa.int32()), pa.array([lang]), pa.array([int(np.count_nonzero(ids))]), pa.array([[b"", *words]], pa.list_(pa.binary())), pa.array([hashes.tobytes()]), pa.array([ids.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, ["shard", "lang", "n_words", "vocab", "hashes", "ids"])
 
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
@@ -95,13 +101,13 @@ def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                     size[lang] = size.get(lang, 0) + len(ids[-1])
                     if size[lang] >= BLOCK:
                         yield close(lang)
-            while sum(size.values()) >= 8 * BLOCK or len(size) > 4096:  # many languages
+            while sum(size.values()) >= OPEN or len(size) > 4096:  # many languages
                 yield close(max(size, key=size.get))
         for lang in list(open_):
             yield close(lang)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "shard int, lang string, vocab array<binary>, ids binary")
+    return rows.mapInArrow(run, "shard int, lang string, n_words long, vocab array<binary>, hashes binary, ids binary")
 
 
 def word_hash(lang: str, w: bytes) -> int:
@@ -135,34 +141,18 @@ class Scan:
         self.step, self.shards, self.tables, self.max_words = step, shards, tables, max_words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[list[bytes], np.ndarray]]] = {}
-        size: dict[str, int] = {}
         for b in batches:
-            for lang, vocab, ids in zip(b["lang"].to_pylist(), b["vocab"], b["ids"], strict=True):
-                held.setdefault(lang, []).append((vocab.as_py(), np.frombuffer(ids.as_buffer(), "<i4")))
-                size[lang] = size.get(lang, 0) + len(held[lang][-1][1])
-                while sum(size.values()) >= GATHER:
-                    most = max(size, key=size.get)
-                    size.pop(most)
-                    yield from self.counted(most, held.pop(most))
-        for lang, each in held.items():
-            yield from self.counted(lang, each)
-
-    def counted(self, lang: str, each: list[tuple[list[bytes], np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        ids = np.concatenate([np.fromiter(map(known.__getitem__, vocab), np.int32, len(vocab))[x] for vocab, x in each])
-        words = list(known)
-        order = sorted(range(2, len(words)), key=words.__getitem__)  # in byte order, so that what is sent compresses
-        place = np.zeros(len(words), np.int64)
-        place[order] = np.arange(1, len(words) - 1)
-        ids, words = place[ids], [b"", *(words[i] for i in order)]  # the end of a piece stays 0
-        vocab, n = pa.array(words, pa.binary()), np.bincount(ids, minlength=len(words))
+            for lang, vocab, hashes, ids in zip(b["lang"].to_pylist(), b["vocab"], b["hashes"], b["ids"], strict=True):
+                yield from self.counted(lang, vocab.values, np.frombuffer(hashes.as_buffer(), "<u8"), np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64))
+
+    def counted(self, lang: str, vocab: pa.Array, h: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tables = self.tables.value
         if self.step < self.shards:
-            yield from self.rows(lang, -np.ones(len(words) - 1, np.int64), vocab, [np.arange(1, len(words))], n[1:])
-        tables, h = self.tables.value, np.zeros(len(words), np.uint64)
-        h[1:] = np.fromiter((word_hash(lang, w) for w in words[1:]), np.uint64, len(words) - 1)
+            n = np.bincount(ids, minlength=len(h))[1:]
+            yield from self.rows(lang, -np.ones(len(n), np.int64), vocab, [np.arange(1, len(h))], n)
         start = started(tables[0], h)
         start[0] = NEVER
+        of_word = start.astype(np.int64)
         at, grams = np.arange(len(ids)), h[ids]  # places where a noted phrase of k - 1 words starts, and its hash
         start = start[ids]
         at, grams, start = (x[start < NEVER] for x in (at, grams, start))
@@ -173,7 +163,7 @@ class Scan:
             here, grams = at[pair], longer_hash(grams[pair], last[at[pair] + k - 1])
             active = (first < self.step) & (self.step <= first + self.shards)
             if active.any():
-                yield from self.rows(lang, *self.combined(ids, here[active], first[active], k, len(words), vocab))
+                yield from self.rows(lang, *self.combined(ids, here[active], of_word if k == 2 else first[active], k, len(h), vocab))
             if k == self.max_words or not len(here):
                 return
             start = started(tables[k - 1], grams)
@@ -181,10 +171,14 @@ class Scan:
 
     @staticmethod
     def combined(ids: np.ndarray, here: np.ndarray, first: np.ndarray, k: int, n_words: int, vocab: pa.Array) -> tuple:
-        """Distinct phrases with their counts, told apart by their words and not by hashes."""
-        key = ids[here]
-        for j in range(1, k):
-            _, key = np.unique(key, return_inverse=True) if j > 1 else (None, key)
+        """Distinct phrases with their counts, told apart by their words and not by hashes; first: scan before the first, of each word or place."""
+        if k == 2:
+            key, n = np.unique(ids[here] * n_words + ids[here + 1], return_counts=True)
+            pair = np.divmod(key, n_words)
+            return np.maximum(first[pair[0]], first[pair[1]]), vocab, [*pair], n
+        key = ids[here] * n_words + ids[here + 1]
+        for j in range(2, k):
+            _, key = np.unique(key, return_inverse=True)
             key = key * n_words + ids[here + j]
         _, where, n = np.unique(key, return_index=True, return_counts=True)
         return first[where], vocab, [ids[here[where] + j] for j in range(k)], n
@@ -250,25 +244,30 @@ def counted_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     cut.write.option("compression", "zstd").partitionBy("shard").parquet(at)
     cut = spark.read.schema(cut.schema).parquet(at)
     tables = np.full((max(max_words - 1, 1), slots), NEVER, np.uint8)
-    step, done, words, open_, open_at = 0, None, None, None, None
+    step, done, open_, open_at = 0, None, None, None
     while step < shards or (tables[tables < NEVER] > step - 1 - shards).any():
         sent = spark.sparkContext.broadcast(tables)
-        new = cut.filter(F.col("shard") == step % shards).select("lang", "vocab", "ids").mapInArrow(Scan(step, shards, sent, max_words), _COUNTS)
+        new = cut.filter(F.col("shard") == step % shards).select("lang", "vocab", "hashes", "ids").mapInArrow(Scan(step, shards, sent, max_words), _COUNTS)
         rows = new if open_ is None else new.unionByName(open_)
-        counts, now = write_step(rows.groupBy("lang", "k", "start", "phrase").agg(F.sum("n").alias("n")), "counts")
+        # blocks are combined already, so rows are added up once, where they meet; k and start follow from the phrase
+        each = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"))
+        left = (F.col("start") + shards > step) | (F.col("n") >= min_count)
+        now = new_path(spark, "counts")
+        # read again once, and phrases hardly repeat: neither a slow codec nor dictionaries pay
+        each.filter(left).select("lang", "k", "start", "phrase", "n").write.options(**{"compression": "snappy", "parquet.enable.dictionary": "false"}).parquet(now)
+        counts = spark.read.schema(_COUNTS).parquet(now)
         sent.unpersist()
         if open_at:
             discard(spark, open_at)
         frequent = counts.filter(F.col("n") >= min_count)
         if max_words > 1:
             note(tables, frequent.filter(F.col("k") < max_words), step)
-        if step == shards - 1:
-            words, _ = write_step(counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n")), "words")
         if step >= shards - 1:
             whole, _ = write_step(frequent.filter(F.col("start") + shards == step).select("lang", "k", "phrase", "n"), "phrases")
             done = whole if done is None else done.unionByName(whole)
         open_, open_at = counts.filter(F.col("start") + shards > step), now
         step += 1
+    words, _ = write_step(cut.groupBy("lang").agg(F.sum("n_words").alias("n")), "words")
     discard(spark, open_at, at)
     return done, words
 

@@ -9,6 +9,7 @@ from tidemark.operators import ingest as G
 from tidemark.operators import matching as J
 from tidemark.operators import snapshots as N
 from tidemark.streaming import changes as ST
+from tidemark.streaming import states as SS
 
 
 def fed(spark, tmp_path, parts, build, name):
@@ -38,7 +39,7 @@ def test_stream_dedup(spark, tmp_path):
     rows = [(i, i % 2, "funding", rng.choice(titles), 1_700_000_000 + i * 40_000) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, company_id long, event_type string, title string, s long").select("id", "company_id", "event_type", "title", F.timestamp_seconds("s").alias("observed_at")).cache()
     parts = [df.filter("id < 40"), df.filter("id >= 40 and id < 80"), df.filter("id >= 80")]
-    got = {r[2]: r[3] for r in fed(spark, tmp_path, parts, ST.stream_dedup, "deduped")}
+    got = {r[2]: r[3] for r in fed(spark, tmp_path, parts, SS.stream_dedup, "deduped")}
     assert got == {r.id: r.canonical_id for r in J.dedup_events(df).collect()} and len(set(got.values())) < 120
 
 

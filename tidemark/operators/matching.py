@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
-from tidemark.operators import extraction as E
+from tidemark.operators.dedup import as_facts, dedup_events  # noqa: F401
 
 
 def resolve_entities(mentions: DataFrame, companies: DataFrame, col: str) -> DataFrame:
@@ -29,7 +29,7 @@ def resolve_entities(mentions: DataFrame, companies: DataFrame, col: str) -> Dat
     keys = companies.select("id", F.explode(spelt).alias("k")).filter("k.key is not null and k.key != ''").groupBy("k").agg(F.min("id").alias("company_id"))
     t = T.strip(F.col(col))
     asked = mentions.select(F.col(col)).filter(t != "").distinct()
-    ways = F.array(_keyed(0, F.nullif(T.normalize_domain(t), F.lit(""))), _keyed(1, F.lower(t)), _keyed(2, t), _keyed(3, T.slugify(t)))
+    ways = F.array(_keyed(0, F.nullif(T.normalize_domain(t), F.lit(""))), _keyed(1, F.lower(t)), _keyed(2, t), _keyed(3, T.slugify(t, fold=True)))
     best = asked.select(F.col(col).alias("__tm_m"), F.explode(ways).alias("k")).join(keys, "k").groupBy("__tm_m").agg(F.min_by("company_id", "k.rank").alias("__tm_c"))
     return mentions.join(best, F.col(col) == F.col("__tm_m"), "left").select(*[c for c in mentions.columns if c != "company_id"], F.col("__tm_c").alias("company_id"))
 
@@ -47,41 +47,6 @@ def dedup_candidates(new: DataFrame, existing: DataFrame, days: int = 14) -> Dat
     return a.join(b, ["company_id", "event_type", "bucket"]).filter((F.col("id_b") < F.col("id_a")) & (gap <= days * 86_400_000_000)).select("id_a", "id_b", "company_id", "event_type")
 
 
-def dedup_events(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OVERLAP) -> DataFrame:
-    """id, canonical_id: each report in arrival order joins the first leader of its company and type within ``days`` that is of the same event, else leads.
-
-    Rounds, amounts, persons, roles, cities and targets decide where the type has them (``extraction.same_event``), titles otherwise. Blocks are cut where neighbouring reports lie more than ``days`` apart, across which none can match, so a block is small and exact.
-    """
-    w = Window.partitionBy("company_id", "event_type").orderBy("observed_at", "id")
-    t = F.unix_micros(F.col("observed_at").cast("timestamp"))
-    rows = reports.select("id", "company_id", "event_type", t.alias("t"), *E.facts(reports), F.coalesce(t - F.lag(t).over(w), F.lit(0)).alias("gap"))
-    rows = rows.withColumn("block", F.sum((F.col("gap") > days * 86_400_000_000).cast("long")).over(Window.partitionBy("company_id", "event_type").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
-
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, leaders = None, []
-        for pdf in batches:
-            out = []
-            facts = zip(*(pdf[c] for c in E.FACT_COLUMNS), strict=True)
-            for k, i, at, f in zip(zip(pdf["company_id"], pdf["event_type"], pdf["block"], strict=True), pdf["id"], pdf["t"], facts, strict=True):
-                if k != key:
-                    key, leaders = k, []
-                own = as_facts(f)
-                same = (j for j, bt, other in leaders if abs(at - bt) <= days * 86_400_000_000 and E.same_facts(k[1], own, other, overlap))
-                out.append(next(same, i))
-                if out[-1] == i:
-                    leaders.append((i, at, own))
-            yield pd.DataFrame({"id": pdf["id"], "canonical_id": out})
-
-    keys = ("company_id", "event_type", "block")  # a task reads its blocks one after the other and holds one block's leaders
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(lead, "id long, canonical_id long")
-
-
-def as_facts(f: tuple) -> tuple:
-    """FACT_COLUMNS with tokens as sets and a missing amount as None."""
-    tokens, round_, amount, person, role, city, target = f
-    return set(tokens), round_, None if amount is None or amount != amount else amount, person, set(role), city, target
-
-
 BLOCK = 2048
 
 
@@ -134,10 +99,10 @@ def match_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 20, min_similarity:
     fit = jobs.filter("is_active")
     for c, v in (("seniority", seniority), ("work_mode", work_mode)):
         fit = fit.filter(F.col(c) == v) if v is not None else fit
-    families = fit.select(F.coalesce("role_family", F.lit("other")).alias("label")).distinct()
+    families = fit.agg(F.collect_set(F.coalesce("role_family", F.lit("other"))).alias("labels"))  # one row
     none = F.size(F.coalesce("parsed_role_families", F.expr("CAST(array() AS array<string>)"))) == 0
     some = resumes.filter(~none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.array_distinct("parsed_role_families")).alias("label"))
-    every = resumes.filter(none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(families.limit(len(E.ROLE_FAMILIES))))
+    every = resumes.filter(none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(families)).select("query_id", "q", F.explode("labels").alias("label"))
     items = fit.select(F.col("id").alias("item_id"), F.col("embedding").alias("v"), F.coalesce("role_family", F.lit("other")).alias("label"))
     found = vector_topk(some.unionByName(every), items, k, min_similarity)
     return found.select(F.col("query_id").alias("resume_id"), F.col("item_id").alias("job_id"), "similarity", "place")

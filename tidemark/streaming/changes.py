@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from tidemark.operators import extraction as E
-from tidemark.operators.matching import as_facts
 
 
 def stream_changes(fetches: DataFrame, key: str = "source_id", order: str = "fetched_at") -> DataFrame:
@@ -94,36 +91,6 @@ def stream_throttle(calls: DataFrame, key: str, ts: str, tie: str, seconds: int
     return calls.select(key, ts, tie).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_dedup(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OVERLAP, late: str = "1 hour") -> DataFrame:
-    """company_id, event_type, id, canonical_id of each report on a stream, as ``dedup_events`` finds them when reports come in time order.
-
-    reports: id long, company_id long, event_type string, title string, observed_at timestamp. The state of a company and type holds its leaders; those more than
-    ``days`` behind the watermark match nothing that may still come and go, and with the last of them the state itself. Reports later than ``late`` go, as watermarks have it.
-    """
-    span = days * 86_400_000
-    rows = reports.withWatermark("observed_at", late).select("company_id", "event_type", "id", "observed_at", F.unix_millis("observed_at").alias("t"), *E.facts(reports))
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        mark = state.getCurrentWatermarkMs()
-        leaders = [(i, t, as_facts(f)) for i, t, f in json.loads(state.get[0])] if state.exists else []
-        leaders, out = [x for x in leaders if x[1] >= mark - span], []
-        pdf = pd.concat(list(batches)).sort_values(["t", "id"])
-        facts = zip(*(pdf[c] for c in E.FACT_COLUMNS), strict=True)
-        for i, t, f in zip(pdf["id"].tolist(), pdf["t"].tolist(), facts, strict=True):
-            own = as_facts(f)
-            out.append(next((j for j, u, other in leaders if abs(t - u) <= span and E.same_facts(k[1], own, other, overlap)), i))
-            if out[-1] == i:
-                leaders.append((i, t, own))
-        state.update((json.dumps([(i, t, [sorted(x) if isinstance(x, set) else x for x in f]) for i, t, f in leaders]),))
-        state.setTimeoutTimestamp(max([mark, *(t for _, t, _ in leaders)]) + span + 1)
-        yield pd.DataFrame({"company_id": k[0], "event_type": k[1], "id": pdf["id"].to_numpy(), "canonical_id": out})
-
-    return rows.groupBy("company_id", "event_type").applyInPandasWithState(step, "company_id long, event_type string, id long, canonical_id long", "leaders string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_quota(calls: DataFrame, key: str, ts: str) -> DataFrame:
     """Calls per key and UTC day on a stream; a day closes an hour after its end."""
     return calls.withWatermark(ts, "1 hour").groupBy(F.window(ts, "1 day"), key).agg(F.count("*").alias("calls"))

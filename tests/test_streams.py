@@ -103,7 +103,7 @@ def test_incremental_pipeline(spark, tmp_path):
 
     events = lambda df: df.select(F.col("source_id").alias("event_id"), F.col("text").alias("title"), F.lit("").alias("context"), "company_id")
     stream = spark.readStream.schema(fetches.schema).parquet(str(tmp_path / "in"))
-    G.run_incremental(stream, lambda: old, write, events, companies, str(tmp_path / "ckpt"), F.lit(0)).awaitTermination(120)
+    G.run_incremental(stream, lambda: old, write, events, companies, str(tmp_path / "ckpt")).awaitTermination(120)
     (batch,) = seen.values()
     assert batch["touched"] == [(8,)] and sorted(r[0] for r in batch["changed"]) == [2, 3, 4]
 

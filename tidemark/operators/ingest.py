@@ -63,28 +63,18 @@ def plan_indexing(uploads: DataFrame, resumes: DataFrame) -> DataFrame:
     return rows.select(*uploads.columns, (~ready).alias("needs_indexing"), F.when(ready, "ready").otherwise("pending").alias("status"))
 
 
-def run_incremental(fetches: DataFrame, last_hashes: Callable[[], DataFrame], write: Callable[[dict[str, DataFrame], int], None], events_of: Callable[[DataFrame], DataFrame], companies: DataFrame, checkpoint: str, as_of: Column):
-    """A streaming query that takes each batch of fetches (source_id, company_id, source_type, fetched_at, url, text) through the pipeline.
+def run_incremental(fetches: DataFrame, last_hashes: Callable[[], DataFrame], write: Callable[[dict[str, DataFrame], int], None], events_of: Callable[[DataFrame], DataFrame], companies: DataFrame, checkpoint: str):
+    """A streaming query that takes each batch of fetches (source_id, company_id, source_type, fetched_at, url, text) as far as routed events.
 
-    Of a batch's fetches those whose content changed against the source's last hash (``last_hashes``: source_id, content_hash, read anew for each batch) and which pass
-    the relevance filter go to ``events_of`` (event_id, title, context, company_id, and what an event has); events are routed to companies; ``write``
-    gets changed, events and touched (company_id), and stores them, so that scores are recomputed for touched companies alone.
-    A batch is written again under its own number after a failure, so ``write`` must be idempotent by it.
+    For callers with a store of their own: ``last_hashes`` (source_id, content_hash) is read anew for each batch, ``write`` gets changed, events and touched
+    (company_id) with the batch's number, by which it must be idempotent. ``crawl.run_crawl`` goes on to canonical events and scores.
     """
+    from tidemark.operators import crawl as W
     from tidemark.operators import mentions as M
-    from tidemark.operators import snapshots as N
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        last = last_hashes().select("source_id", F.col("content_hash").alias("__tm_last"))
-        rows = N.content_changes(batch, "source_id", ["fetched_at"], "text").join(last, "source_id", "left")
-        # a source's first fetch of the batch is compared with what was stored, the others with the one before them
-        first = F.col("fetched_at") == F.min("fetched_at").over(N.Window.partitionBy("source_id"))
-        rows = rows.withColumn("changed", F.when(first, ~F.col("content_hash").eqNullSafe(F.col("__tm_last"))).otherwise(F.col("changed")))
-        changed = rows.filter("changed").drop("__tm_last", "changed")
-        relevant = changed.filter(T.passes(T.prefilter(F.col("text"), F.col("source_type"))))
-        events = M.route_events(events_of(relevant), companies)
-        write({"changed": changed, "events": events, "touched": events.select("company_id").distinct()}, number)
-        batch.unpersist()
+        changed = W.changed_fetches(batch, last_hashes())
+        events = M.route_events(events_of(W.relevant_fetches(changed, companies)), companies)
+        write({"changed": changed.drop("content_hash"), "events": events, "touched": events.select("company_id").distinct()}, number)
 
     return fetches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -87,6 +87,69 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, text string, linked_text string")
 
 
+# Tags that end a block of text.
+BLOCK_TAGS = ("p", "div", "li", "ul", "ol", "td", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "main", "aside", "blockquote", "pre", "form", "figure", "br", "hr", "body", "title")
+#: A block of at least so many words is content unless more than this share of its letters are links; shorter ones go with a neighbour.
+CONTENT_WORDS, LINK_SHARE, LEAST_ARTICLE = 15, 1 / 3, 200
+
+
+class _Blocks(_Page):
+    """Blocks of text: their pieces, and how many of their letters are links."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.blocks: list[tuple[list[str], int]] = []
+        self.now, self.linked, self.in_link = [], 0, 0
+
+    def cut(self) -> None:
+        if "".join(self.now).strip():
+            self.blocks.append((self.now, self.linked))
+        self.now, self.linked = [], 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag in BLOCK_TAGS:
+            self.cut()
+        self.in_link += tag == "a"
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        if tag in BLOCK_TAGS:
+            self.cut()
+        self.in_link = max(0, self.in_link - (tag == "a"))
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        if not self.skip:
+            self.now.append(data)
+            self.linked += len(data.strip()) * (self.in_link > 0)
+
+
+def article(html: str | None) -> str:
+    """Text of a page's content blocks: long ones with few links, and short ones without links between two of them or right before one (headings)."""
+    page = _Blocks()
+    page.feed(html or "")
+    page.close()
+    page.cut()
+    texts = [" ".join("".join(pieces).split()) for pieces, _ in page.blocks]
+    few = [linked <= LINK_SHARE * max(len(t), 1) for t, (_, linked) in zip(texts, page.blocks, strict=True)]
+    long = [f and len(t.split()) >= CONTENT_WORDS for t, f in zip(texts, few, strict=True)]
+    kept = [a or (f and i + 1 < len(texts) and long[i + 1]) for i, (a, f) in enumerate(zip(long, few, strict=True))]
+    out = "\n".join(t for t, k in zip(texts, kept, strict=True) if k)
+    whole = _lines(page.pieces)
+    return whole if len(out) < LEAST_ARTICLE and len(whole) > len(out) else out
+
+
+def article_texts(pages: DataFrame) -> DataFrame:
+    """page_id, text: the page's article without navigation, advertisements and lists of links; all its text where that leaves under 200 characters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"page_id": pdf["page_id"], "text": [article(h) for h in pdf["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """page_id, pos, label, href: the usable links among a page's first 400, in order."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .listing import public_events
 from .scores import latest_per_key, score_movement
 
 
@@ -40,25 +41,32 @@ def hiring_hotspots(jobs: DataFrame, companies: DataFrame, since: Column, n: int
     return with_company(rows, companies).orderBy(F.desc("new_jobs"), "company_id").limit(n)
 
 
+def _public(events: DataFrame) -> DataFrame:
+    """What readers may see, where the events say so."""
+    return public_events(events) if {"is_canonical", "status"} <= set(events.columns) else events
+
+
 def event_counts(events: DataFrame, as_of: Column) -> DataFrame:
-    return events.groupBy("company_id").agg(F.count("*").alias("events"), F.count_if(F.col("observed_at") >= as_of - F.expr("INTERVAL 30 DAYS")).alias("events_30d"))
+    return _public(events).groupBy("company_id").agg(F.count("*").alias("events"), F.count_if(F.col("observed_at") >= as_of - F.expr("INTERVAL 30 DAYS")).alias("events_30d"))
 
 
 def recent_events(events: DataFrame, companies: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("company_id").orderBy(F.desc_nulls_last("observed_at"), F.desc("id"))
-    return with_company(events.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n), companies)
+    return with_company(_public(events).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n), companies)
 
 
 def top_signal(events: DataFrame) -> DataFrame:
-    return events.groupBy("company_id").agg(F.max_by("title", F.struct("observed_at", "id")).alias("headline"))
+    return _public(events).groupBy("company_id").agg(F.max_by("title", F.struct("observed_at", "id")).alias("headline"))
 
 
-def platform_stats(companies: DataFrame, jobs: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
-    """One row of totals."""
+def platform_stats(companies: DataFrame, jobs: DataFrame, events: DataFrame, as_of: Column, sources: DataFrame | None = None) -> DataFrame:
+    """One row of totals of public events; with sources (last_successful_crawl) also the newest crawl that worked."""
+    events = _public(events)
     parts = (
         companies.agg(F.count_if("is_active").alias("active_companies")),
         jobs.agg(F.count_if("is_active").alias("active_jobs")),
         events.agg(F.count_if(F.col("observed_at") >= as_of - F.expr("INTERVAL 30 DAYS")).alias("events_30d"), F.count_distinct("company_id").alias("covered_companies")),
+        *([sources.agg(F.max("last_successful_crawl").alias("last_crawl"))] if sources is not None else []),
     )
     out = parts[0]
     for p in parts[1:]:  # rows of one aggregate each
@@ -66,9 +74,10 @@ def platform_stats(companies: DataFrame, jobs: DataFrame, events: DataFrame, as_
     return out
 
 
-def trending(companies: DataFrame, scores: DataFrame, jobs: DataFrame, events: DataFrame, since: Column, n: int, only_up: bool = False) -> DataFrame:
+def trending(companies: DataFrame, scores: DataFrame, jobs: DataFrame, events: DataFrame, since: Column, n: int, only_up: bool = False, industry: str | None = None) -> DataFrame:
     moved = score_movement(scores, since).withColumnRenamed("company_id", "id")
-    rows = companies.filter("is_active").join(moved, "id")
+    active = companies.filter("is_active")
+    rows = (active.filter(F.col("industry") == industry) if industry is not None else active).join(moved, "id")
     rows = rows.filter("delta > 0") if only_up else rows
     top = rows.orderBy(F.desc("delta"), "id").limit(n)
     return with_active_jobs(top, jobs).join(top_signal(events).withColumnRenamed("company_id", "id"), "id", "left")
@@ -112,6 +121,45 @@ def company_detail(companies: DataFrame, scores: DataFrame, jobs: DataFrame, eve
     return rows.join(counts.withColumnRenamed("company_id", "id"), "id", "left").join(top.withColumnRenamed("company_id", "id"), "id", "left").fillna(0, ["events", "events_30d"])
 
 
+def newest(rows: DataFrame, key: str, order: list[Column], n: int, fields: list[str], name: str) -> DataFrame:
+    """key, name: an array of the first n rows of each key by order. Spark cuts to n within each task before anything is shuffled, so no list is longer."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    top = rows.select(key, *fields, place.alias("__tm_place")).filter(F.col("__tm_place") <= n)
+    each = F.collect_list(F.struct("__tm_place", F.struct(*fields).alias("row")))
+    return top.groupBy(key).agg(F.transform(F.array_sort(each), lambda e: e["row"]).alias(name))
+
+
+def company_profile(companies: DataFrame, scores: DataFrame, jobs: DataFrame, events: DataFrame, sources: DataFrame, as_of: Column, n_scores: int = 10, n_events: int = 5) -> DataFrame:
+    """The company page, a row for each company: newest score with its delta (null for a first score), score_history oldest first, active_jobs and
+    jobs_by_family, events and events_30d, recent_events (both of public events, newest first) and the approved sources.
+
+    companies: id, name, slug, industry; scores: company_id, scored_at, momentum_score, momentum_label; events: id, company_id, title, event_type, observed_at.
+    """
+    points = newest(scores, "company_id", [F.desc("scored_at")], n_scores, ["scored_at", "momentum_score", "momentum_label"], "points")
+    public = _public(events)
+    recent = newest(public, "company_id", [F.desc_nulls_last("observed_at"), F.desc("id")], n_events, ["id", "event_type", "title", "observed_at"], "recent_events")
+    families = jobs.filter("is_active").groupBy("company_id", F.coalesce("role_family", F.lit("other")).alias("family")).agg(F.count("*").alias("n"))
+    families = families.groupBy("company_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("family", "n")))).alias("jobs_by_family"), F.sum("n").alias("active_jobs"))
+    approved = sources.filter("status = 'approved' AND company_id IS NOT NULL").groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct("source_type", "url"))).alias("sources"))
+    rows = companies.withColumnRenamed("id", "company_id")
+    for part in (points, event_counts(public, as_of), recent, families, approved):
+        rows = rows.join(part, "company_id", "left")
+    score = lambda i: F.get("points", F.lit(i))
+    rows = rows.withColumns({
+        "momentum_score": score(0)["momentum_score"], "momentum_label": score(0)["momentum_label"], "scored_at": score(0)["scored_at"], "score_delta": score(0)["momentum_score"] - score(1)["momentum_score"],
+        "score_history": F.reverse("points"),
+    })
+    return rows.fillna(0, ["active_jobs", "events", "events_30d"]).drop("points").withColumnRenamed("company_id", "id")
+
+
+def compare_profiles(companies: DataFrame, scores: DataFrame, jobs: DataFrame, events: DataFrame, slugs: list[str], as_of: Column) -> DataFrame:
+    """The profiles of two to five companies in the order asked for, with ten scores and three events each; only their rows of the tables are read into it."""
+    asked = compare_companies(companies, slugs).filter("id IS NOT NULL")
+    own = lambda df: df.join(F.broadcast(asked.select(F.col("id").alias("company_id"))), "company_id", "left_semi")
+    none = companies.sparkSession.createDataFrame([], "company_id long, status string, source_type string, url string")
+    return company_profile(asked, own(scores), own(jobs), own(events), none, as_of, n_events=3)
+
+
 def compare_companies(companies: DataFrame, slugs: list[str]) -> DataFrame:
     """Two to five companies in the order asked for; repeats collapse, missing slugs are rows without a company."""
     wanted = list(dict.fromkeys(slugs))

@@ -51,6 +51,7 @@ _LATEST = "la AS (SELECT company_id, arg_max(momentum_score, scored_at) AS momen
 _ACTIVE = "aj AS (SELECT company_id, count(*) AS active_jobs FROM jb WHERE is_active GROUP BY company_id)"
 _MOVES = f"mv AS (SELECT company_id, arg_max(momentum_score, scored_at) AS latest, arg_max(momentum_score, scored_at) FILTER (WHERE scored_at < TIMESTAMP '{SINCE}') AS baseline FROM sc GROUP BY company_id)"
 _TOP = "tp AS (SELECT company_id, arg_max(title, observed_at) AS headline FROM ev GROUP BY company_id)"
+_TOP_PUBLIC = _TOP.replace("FROM ev", "FROM pb")
 
 
 def sql(*parts: str, body: str) -> str:
@@ -128,37 +129,37 @@ def hiring_hotspots(spark: SparkSession, d: str) -> DataFrame:
     return R.hiring_hotspots(A.jobs(spark, d), A.companies(spark, d), at(JOBS_SINCE)).select("company_id", "new_jobs", "company_name")
 
 
-@query(sql("co", "jb", "ev", body=f"SELECT (SELECT count(*) FROM co WHERE is_active) AS active_companies, (SELECT count(*) FROM jb WHERE is_active) AS active_jobs, (SELECT count(*) FROM ev WHERE observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS events_30d, (SELECT count(DISTINCT company_id) FROM ev) AS covered_companies"))
+@query(sql("co", "jb", "ev", "sg", "pb", body=f"SELECT (SELECT count(*) FROM co WHERE is_active) AS active_companies, (SELECT count(*) FROM jb WHERE is_active) AS active_jobs, (SELECT count(*) FROM pb WHERE observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS events_30d, (SELECT count(DISTINCT company_id) FROM pb) AS covered_companies"))
 def platform_stats(spark: SparkSession, d: str) -> DataFrame:
-    return R.platform_stats(A.companies(spark, d), A.jobs(spark, d), A.events(spark, d), at(AS_OF))
+    return R.platform_stats(A.companies(spark, d), A.jobs(spark, d), A.signals(spark, d), at(AS_OF))
 
 
-@query(sql("ev", body=f"SELECT company_id, count(*) AS events, count(*) FILTER (WHERE observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS events_30d FROM ev GROUP BY company_id"))
+@query(sql("ev", "sg", "pb", body=f"SELECT company_id, count(*) AS events, count(*) FILTER (WHERE observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS events_30d FROM pb GROUP BY company_id"))
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.event_counts(A.events(spark, d), at(AS_OF))
+    return R.event_counts(A.signals(spark, d), at(AS_OF))
 
 
-@query(sql("co", "ev", body="SELECT company_id, ev.id, title, place, name AS company_name FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY observed_at DESC, id DESC) AS place FROM ev) ev JOIN co ON co.id = company_id WHERE place <= 5"))
+@query(sql("co", "ev", "sg", "pb", body="SELECT company_id, pb.id, title, place, name AS company_name FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY observed_at DESC, id DESC) AS place FROM pb) pb JOIN co ON co.id = company_id WHERE place <= 5"))
 def recent_events(spark: SparkSession, d: str) -> DataFrame:
-    return R.recent_events(A.events(spark, d), A.companies(spark, d), 5).select("company_id", "id", "title", F.col("place").cast("long").alias("place"), "company_name")
+    return R.recent_events(A.signals(spark, d), A.companies(spark, d), 5).select("company_id", "id", "title", F.col("place").cast("long").alias("place"), "company_name")
 
 
-@query(sql("ev", _TOP, body="SELECT * FROM tp"))
+@query(sql("ev", "sg", "pb", _TOP_PUBLIC, body="SELECT * FROM tp"))
 def top_signal(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_signal(A.events(spark, d))
+    return R.top_signal(A.signals(spark, d))
 
 
 _TRENDING = "SELECT co.id, name, round(latest - coalesce(baseline, 0), 6) AS delta, coalesce(active_jobs, 0) AS active_jobs, headline FROM co JOIN mv ON mv.company_id = co.id LEFT JOIN aj ON aj.company_id = co.id LEFT JOIN tp ON tp.company_id = co.id WHERE is_active {} ORDER BY latest - coalesce(baseline, 0) DESC, co.id LIMIT {}"
 
 
-@query(sql("co", "jb", "ev", _SERIES, _MOVES, _ACTIVE, _TOP, body=_TRENDING.format("", 20)))
+@query(sql("co", "jb", "ev", "sg", "pb", _SERIES, _MOVES, _ACTIVE, _TOP_PUBLIC, body=_TRENDING.format("", 20)))
 def trending(spark: SparkSession, d: str) -> DataFrame:
-    return R.trending(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.events(spark, d), at(SINCE), 20).select("id", "name", F.round("delta", 6).alias("delta"), "active_jobs", "headline")
+    return R.trending(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.signals(spark, d), at(SINCE), 20).select("id", "name", F.round("delta", 6).alias("delta"), "active_jobs", "headline")
 
 
-@query(sql("co", "jb", "ev", _SERIES, _MOVES, _ACTIVE, _TOP, body=_TRENDING.format("AND latest - coalesce(baseline, 0) > 0", 10)))
+@query(sql("co", "jb", "ev", "sg", "pb", _SERIES, _MOVES, _ACTIVE, _TOP_PUBLIC, body=_TRENDING.format("AND latest - coalesce(baseline, 0) > 0", 10)))
 def top_movers(spark: SparkSession, d: str) -> DataFrame:
-    return R.trending(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.events(spark, d), at(SINCE), 10, only_up=True).select("id", "name", F.round("delta", 6).alias("delta"), "active_jobs", "headline")
+    return R.trending(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.signals(spark, d), at(SINCE), 10, only_up=True).select("id", "name", F.round("delta", 6).alias("delta"), "active_jobs", "headline")
 
 
 @query(sql("co", "jb", "ev", _SERIES, _LATEST, _ACTIVE, body="SELECT co.id, name, industry, round(momentum_score, 6) AS momentum_score, momentum_label, coalesce(active_jobs, 0) AS active_jobs FROM co LEFT JOIN la ON la.company_id = co.id LEFT JOIN aj ON aj.company_id = co.id"))
@@ -186,9 +187,9 @@ def paginate_meta(spark: SparkSession, d: str) -> DataFrame:
     return R.paginate(A.table(spark, d, "orders"), [F.asc("o_orderkey")], 3, 25)[1]
 
 
-@query(sql("co", "jb", "ev", _SERIES, _LATEST, _ACTIVE, _TOP, body="SELECT co.id, name, round(momentum_score, 6) AS momentum_score, coalesce(active_jobs, 0) AS active_jobs, coalesce(n, 0) AS events, headline FROM co LEFT JOIN la ON la.company_id = co.id LEFT JOIN aj ON aj.company_id = co.id LEFT JOIN tp ON tp.company_id = co.id LEFT JOIN (SELECT company_id, count(*) AS n FROM ev GROUP BY 1) c ON c.company_id = co.id"))
+@query(sql("co", "jb", "ev", "sg", "pb", _SERIES, _LATEST, _ACTIVE, _TOP_PUBLIC, body="SELECT co.id, name, round(momentum_score, 6) AS momentum_score, coalesce(active_jobs, 0) AS active_jobs, coalesce(n, 0) AS events, headline FROM co LEFT JOIN la ON la.company_id = co.id LEFT JOIN aj ON aj.company_id = co.id LEFT JOIN tp ON tp.company_id = co.id LEFT JOIN (SELECT company_id, count(*) AS n FROM pb GROUP BY 1) c ON c.company_id = co.id"))
 def company_detail(spark: SparkSession, d: str) -> DataFrame:
-    return R.company_detail(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.events(spark, d), at(AS_OF)).select("id", "name", F.round("momentum_score", 6).alias("momentum_score"), "active_jobs", "events", "headline")
+    return R.company_detail(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), A.signals(spark, d), at(AS_OF)).select("id", "name", F.round("momentum_score", 6).alias("momentum_score"), "active_jobs", "events", "headline")
 
 
 def _like_any(parts: tuple[str, ...]) -> str:
@@ -326,10 +327,10 @@ def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
     return M.resolve_entities(c.select("c_custkey", F.expr(_NAMES).alias("m")), A.profiles(spark, d), "m").select("c_custkey", "company_id")
 
 
-@query(sql("ev", body="SELECT a.id AS id_a, b.id AS id_b, a.company_id, a.event_type FROM ev a JOIN ev b ON a.company_id = b.company_id AND a.event_type = b.event_type AND b.id < a.id AND abs(epoch_us(a.observed_at) - epoch_us(b.observed_at)) <= 86400000000"))
+@query(sql("ev", body="SELECT a.id AS id_a, b.id AS id_b, a.company_id, a.event_type FROM ev a JOIN ev b ON a.company_id = b.company_id AND a.event_type = b.event_type AND b.id < a.id AND abs(epoch_us(a.observed_at) - epoch_us(b.observed_at)) <= 14 * 86400000000"))
 def dedup_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = A.events(spark, d)
-    return M.dedup_candidates(e, e, days=1)
+    return M.dedup_candidates(e, e)
 
 
 _SAME = """CASE event_type WHEN 'funding' THEN l.f_round = x.f_round AND (l.f_amount IS NULL OR x.f_amount IS NULL OR least(l.f_amount, x.f_amount) <= 0 OR abs(l.f_amount - x.f_amount) / greatest(l.f_amount, x.f_amount) <= 0.2)
@@ -405,7 +406,7 @@ def sliding_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves here."""
-    from tidemark.plans import extracted, ingest, listings  # noqa: F401
+    from tidemark.plans import extracted, ingest, listings, profiles  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

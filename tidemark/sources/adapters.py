@@ -130,3 +130,14 @@ SQL |= {
       CAST(p_size % 4 AS BIGINT) AS consecutive_failures, TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 40 AS INTEGER)) AS created_at, p_partkey % 5 AS submitted_by FROM part)""",
     "sb": "sb AS (SELECT c_custkey AS id, lower(c_name) || '@mail.example' AS email, c_custkey % 4 <> 0 AS is_active, CASE WHEN c_custkey % 3 <> 0 THEN TIMESTAMP '2024-01-02' + to_days(CAST(c_custkey % 31 AS INTEGER)) END AS confirmed_at, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 31 AS INTEGER)) AS created_at FROM customer)",
 }
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with a time of occurrence: none, long before they were observed (some beyond the lookback), the day before, or in the future."""
+    s, k = signals(spark, sf_dir), F.col("k")
+    back = F.make_dt_interval((k * 3).cast("int"))
+    day = F.expr("INTERVAL 1 DAY")
+    return s.withColumn("occurred_at", F.when(k % 4 == 1, F.col("observed_at") - back).when(k % 4 == 2, F.col("observed_at") + F.expr("INTERVAL 20 DAYS")).when(k % 4 == 3, F.col("observed_at") - day))
+
+
+SQL["dt"] = "dt AS (SELECT *, CASE k % 4 WHEN 1 THEN observed_at - to_days(CAST(k * 3 AS INTEGER)) WHEN 2 THEN observed_at + INTERVAL 20 DAY WHEN 3 THEN observed_at - INTERVAL 1 DAY END AS occurred_at FROM sg)"

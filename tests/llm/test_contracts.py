@@ -124,3 +124,15 @@ def test_likelihood_rises():
     assert share == pytest.approx(0.7, abs=0.03) and right == pytest.approx([0.85] * 4, abs=0.03)
     p = quality.posterior(votes.astype(float), share, right)
     assert ((p > 0.5) == good).mean() > 0.93 and bisect.bisect([0, 1], share) == 1
+
+
+def test_variety_has_no_step_in_length():
+    """A text that goes on in the same way is judged in the same way at any length."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    few, many = [f"w{i % 90}" for i in range(12_000)], [f"w{i * i % 7919}" for i in range(12_000)]
+    for words in (few, many):
+        rows = [(n, " ".join(words[:n])) for n in (1000, 4999, 5000, 5001, 9000, 12_000)]
+        votes = quality.features(spark.createDataFrame(rows, "doc_id long, text string")).select(quality.rules()["variety"].alias("v")).distinct().collect()
+        assert [r.v for r in votes] == [-1 if words is few else 0]

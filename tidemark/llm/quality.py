@@ -28,6 +28,8 @@ WINDOW = 3
 LEAST = 0.55
 #: A document is kept from this posterior on.
 KEEP = 0.5
+#: Words of a stretch in which distinct words are counted, so that the share of distinct words doesn't fall with a text's length.
+STRETCH = 1000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_alpha", "n_digits", "n_ended")
 
 
@@ -58,7 +60,8 @@ def counts(text: str) -> tuple[int, ...]:
     punctuation = sum(raw.count(c) for c in (b".", b",", b"!", b"?", b"-", b"_", b"(", b")", b"[", b"]", b"{", b"}", b"=", b'"', b"'", b":", b";", b"/", b"@", b"+"))
     ended = sum(x.rstrip().endswith((b".", b"!", b"?", b'"')) for x in lines)
     chars = len(text) - blanks
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), len(set(words)), chars - symbols - digits - punctuation, digits, ended
+    distinct = sum(len(set(words[i : i + STRETCH])) for i in range(0, len(words), STRETCH))
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), distinct, chars - symbols - digits - punctuation, digits, ended
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def rules() -> dict[str, Column]:
         "digits": _vote(no, digits > 0.3),
         "dup_lines": _vote(no, dup > 0.35),
         "repeats": _vote(no, repeat > 0.4),
-        "variety": _vote(no, (variety < 0.15) & (n <= 5000)),
+        "variety": _vote(no, variety < 0.15),
         "word_length": _vote(no, (length < 2.5) | (length > 11)),
         "line_ends": _vote(no, ended < 0.4),
         "prose": _vote(prose, ~prose),

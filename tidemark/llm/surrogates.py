@@ -17,7 +17,9 @@ Where no bracket closes within ``STEPS`` values, as in a format whose values nea
 another occurring entity's, yet still nobody else's surrogate. Nothing is drawn again and nothing is raised. Entities that went
 further than one step reach the texts in a broadcast table of up to ``BROADCAST`` rows, else by a join on the documents that mention them.
 
-The key is an argument, else the session's ``spark.tidemark.surrogates.key``, else a constant fit for tests only.
+The key is an argument, else the session's ``spark.tidemark.surrogates.key``; a local master may do without, with a constant fit for tests only.
+Formats never overlap: the classes of characters that stand for each other partition each block of letters, a format's name holds all of them, padded octets of addresses
+stay padded, and hexadecimal secrets are a format apart from other secrets, which are walked past hexadecimal values.
 
 What is not found: names without a title or a known given name, names in scripts without capitals, bare runs of under 13 digits.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import math
 import re
 import sys
 import unicodedata
@@ -229,22 +232,36 @@ def iban_rest(canon: str) -> int:
     return int("".join(str(int(c, 36)) for c in canon[4:] + canon[:4])) % 97
 
 
+#: Letters that a script's plain alphabet holds; others of the same block (accented, of other languages) are a class of their own.
+PLAIN = (("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("α", "ω"), ("Α", "Ω"))
+
+
+def letter_class(c: str, name: bool) -> tuple:
+    """What letters that may stand for each other have in common: block, category, plain or not, and in names vowel or not. Letters whose case can't be changed back and forth stay alone."""
+    if len(c.upper()) != 1 or len(c.lower()) != 1 or c not in (c.upper().lower(), c.lower().upper()):
+        return (c,)
+    plain = any(low <= c <= high for low, high in PLAIN)
+    vowel = name and unicodedata.normalize("NFD", _low(c))[0] in VOWELS
+    return ord(c) >> 7, unicodedata.category(c), plain, vowel
+
+
 @lru_cache(65_536)
 def alphabet(c: str, name: bool, digits: str) -> str:
-    """The characters that may stand for c; c alone if it stays. digits: those of a hexadecimal value."""
+    """The characters that may stand for c, the same for each of them; c alone if it stays. digits: those of a hexadecimal value, which stand for each other."""
     if c in digits:
         return digits
     if "0" <= c <= "9":
         return "0123456789"
     if not c.isalpha():
         return c
-    ranges = (("a", "z"), ("A", "Z"), ("а", "я"), ("α", "ω"))
-    low, high = next((r for r in ranges if r[0] <= c <= r[1]), (chr(ord(c) & ~127), chr(ord(c) | 127)))
-    same = [x for x in map(chr, range(ord(low), ord(high) + 1)) if unicodedata.category(x) == unicodedata.category(c)]
-    if name:
-        vowel = lambda x: unicodedata.normalize("NFD", _low(x))[0] in VOWELS
-        same = [x for x in same if vowel(x) == vowel(c)]
-    return "".join(same)
+    own, low = letter_class(c, name), ord(c) & ~127
+    return "".join(x for x in map(chr, range(low, low + 128)) if x.isalpha() and x not in digits and letter_class(x, name) == own)
+
+
+def hexadecimal(value: str) -> str:
+    """The letters of a value of decimal digits and letters a-f of one case, both there; else nothing."""
+    letters = set(value).difference(HEX[:10])
+    return next((d for d in ("abcdef", "ABCDEF") if letters and len(letters) < len(set(value)) and letters <= set(d)), "")
 
 
 def _digest(key: bytes, *parts: object) -> int:
@@ -253,11 +270,7 @@ def _digest(key: bytes, *parts: object) -> int:
 
 def permute(x: int, n: int, key: bytes, form: str, back: bool = False) -> int:
     """A keyed permutation of 0 .. n - 1 or its inverse: Feistel rounds on a square that holds n values, walked until a value lies below n."""
-    side = 1
-    while side * side < n:
-        side *= 2
-    while side and (side - 1) ** 2 >= n:  # at most about one part in four is walked over
-        side = max(side - max(1, side // 64), 1)
+    side = math.isqrt(max(n - 1, 0)) + 1
     while True:
         a, b = divmod(x, side)
         for r in range(FEISTEL_ROUNDS):
@@ -270,16 +283,13 @@ def permute(x: int, n: int, key: bytes, form: str, back: bool = False) -> int:
             return x
 
 
-def _next_value(canon: str, steps: int, key: bytes, kind: str, keep: int = 0, tail: int = 0, name: bool = False) -> str:
+def _next_value(canon: str, steps: int, key: bytes, kind: str, keep: int = 0, tail: int = 0, name: bool = False, walk: bool = False) -> str:
     """The value ``steps`` further on the cycle of canon's format; the first ``keep`` and last ``tail`` characters stay."""
     body = canon[keep : len(canon) - tail]
-    decimal = sum(c in HEX[:10] for c in body)
-    digits = HEX if kind == "ipv6" else ""
-    if kind == "secret" and 0 < decimal < len(body):
-        digits = next((d for d in (HEX, HEX.upper()) if not set(body).difference(d)), "")
-    spaces = [alphabet(c, name, digits) for c in body]
+    letters = hexadecimal(body) if kind == "secret" and not walk else ""
+    spaces = [letters if c in letters else alphabet(c, name, HEX if kind == "ipv6" else "") for c in body]
     places = [i for i, s in enumerate(spaces) if len(s) > 1]
-    form = f"{_digest(key, kind, canon[:keep], canon[len(canon) - tail :], *(s[0] for s in spaces)):x}"
+    form = f"{_digest(key, kind, canon[:keep], canon[len(canon) - tail :], *spaces):x}"
     out, n, x = list(body), 1, 0
     for i in places[:COVERED]:
         x, n = x * len(spaces[i]) + spaces[i].index(body[i]), n * len(spaces[i])
@@ -293,6 +303,8 @@ def _next_value(canon: str, steps: int, key: bytes, kind: str, keep: int = 0, ta
     for j, i in enumerate(places[COVERED:]):
         shift = _digest(key, form, "rest", j // 16, covered) >> 16 * (j % 16) & 65535
         out[i] = spaces[i][(spaces[i].index(body[i]) + shift + steps) % len(spaces[i])]
+    if kind == "secret" and not letters and hexadecimal("".join(out)):  # those are a format of their own: walk on until the value isn't one of it
+        return _next_value("".join(out), steps, key, kind, walk=True)
     return canon[:keep] + "".join(out) + canon[len(canon) - tail :]
 
 
@@ -304,7 +316,7 @@ def surrogate(kind: str, canon: str, steps: int = 1, key: bytes = TEST_KEY) -> s
     """The canonical form of the replacement: for e-mail the local part's, with the host left to ``host``."""
     if kind == "ip":
         octets = canon.split(".")
-        sizes = [_OCTET[len(o)] if o == str(int(o)) else (0, 10 ** len(o) - 1) for o in octets]
+        sizes = [_OCTET[len(o)] if o == str(int(o)) else (0, 10 ** (len(o) - 1) - 1) for o in octets]  # padded ones stay padded
         n, x = 1, 0
         for o, (low, high) in zip(octets, sizes, strict=True):
             x, n = x * (high - low + 1) + int(o) - low, n * (high - low + 1)
@@ -399,7 +411,11 @@ def resolve(found: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_CONF, TEST_KEY.decode()).encode()
+    """The session's key; the key of tests only where the master is local."""
+    key = spark.conf.get(KEY_CONF, None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_CONF}, or give a key: who knows the default can undo the replacement")
+    return key.encode() if key is not None else TEST_KEY
 
 
 def replace(docs: DataFrame, key: bytes | None = None, broadcast: int = BROADCAST) -> DataFrame:

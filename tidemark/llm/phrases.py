@@ -73,7 +73,7 @@ def slices(text: bytes) -> Iterator[bytes]:
 
 
 def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard, lang, n_words, vocab (in byte order, from 1), hashes, ids: word numbers of whole pieces of a language, 0 between pieces."""
+    """shard, lang, n_words, vocab (in byte order, from 1), ids: word numbers of whole pieces of a language, 0 between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[Words, list[np.ndarray]]] = {}
@@ -89,9 +89,8 @@ def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             place = np.zeros(len(words), "<i4")
             place[order] = np.arange(1, len(words) - 1)
             ids, words = place[ids], [words[i] for i in order]
-            hashes = np.array([0, *(word_hash(lang, w) for w in words)], "<u8")
-            cols = [pa.array([made % shards], pa.int32()), pa.array([lang]), pa.array([int(np.count_nonzero(ids))]), pa.array([[b"", *words]], pa.list_(pa.binary())), pa.array([hashes.tobytes()]), pa.array([ids.tobytes()])]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "lang", "n_words", "vocab", "hashes", "ids"])
+            cols = [pa.array([made % shards], pa.int32()), pa.array([lang]), pa.array([int(np.count_nonzero(ids))]), pa.array([[b"", *words]], pa.list_(pa.binary())), pa.array([ids.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, ["shard", "lang", "n_words", "vocab", "ids"])
 
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
@@ -107,7 +106,7 @@ def blocks(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             yield close(lang)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "shard int, lang string, n_words long, vocab array<binary>, hashes binary, ids binary")
+    return rows.mapInArrow(run, "shard int, lang string, n_words long, vocab array<binary>, ids binary")
 
 
 def word_hash(lang: str, w: bytes) -> int:
@@ -142,8 +141,10 @@ class Scan:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, vocab, hashes, ids in zip(b["lang"].to_pylist(), b["vocab"], b["hashes"], b["ids"], strict=True):
-                yield from self.counted(lang, vocab.values, np.frombuffer(hashes.as_buffer(), "<u8"), np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64))
+            for lang, vocab, ids in zip(b["lang"].to_pylist(), b["vocab"], b["ids"], strict=True):
+                words = vocab.as_py()[1:]
+                h = np.array([0, *(word_hash(lang, w) for w in words)], np.uint64)
+                yield from self.counted(lang, vocab.values, h, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64))
 
     def counted(self, lang: str, vocab: pa.Array, h: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         tables = self.tables.value
@@ -247,14 +248,14 @@ def counted_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     step, done, open_, open_at = 0, None, None, None
     while step < shards or (tables[tables < NEVER] > step - 1 - shards).any():
         sent = spark.sparkContext.broadcast(tables)
-        new = cut.filter(F.col("shard") == step % shards).select("lang", "vocab", "hashes", "ids").mapInArrow(Scan(step, shards, sent, max_words), _COUNTS)
+        new = cut.filter(F.col("shard") == step % shards).select("lang", "vocab", "ids").mapInArrow(Scan(step, shards, sent, max_words), _COUNTS)
         rows = new if open_ is None else new.unionByName(open_)
         # blocks are combined already, so rows are added up once, where they meet; k and start follow from the phrase
         each = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("start").alias("start"), F.sum("n").alias("n"))
         left = (F.col("start") + shards > step) | (F.col("n") >= min_count)
         now = new_path(spark, "counts")
-        # read again once, and phrases hardly repeat: neither a slow codec nor dictionaries pay
-        each.filter(left).select("lang", "k", "start", "phrase", "n").write.options(**{"compression": "snappy", "parquet.enable.dictionary": "false"}).parquet(now)
+        # phrases hardly repeat, so dictionaries don't pay
+        each.filter(left).select("lang", "k", "start", "phrase", "n").write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(now)
         counts = spark.read.schema(_COUNTS).parquet(now)
         sent.unpersist()
         if open_at:

@@ -73,10 +73,13 @@ def company_sources(sources: DataFrame, company_id: object = None) -> DataFrame:
 
 
 def browse_sources(sources: DataFrame, companies: DataFrame) -> DataFrame:
-    """slug, name, sources (array of struct source_type, url, id; sorted) of the approved sources; those of no company stand under a null slug."""
+    """slug, name, sources (array of struct source_type, url, id; sorted) of the approved sources: a row for each company, and one for each source of no company, under a null slug.
+
+    Sources of no company are as many as the table has, so they are rows and never one list.
+    """
     named = companies.select(F.col("id").alias("company_id"), "slug", "name")
-    rows = sources.filter("status = 'approved'").join(named, "company_id", "left")
-    return rows.groupBy("slug", "name").agg(F.sort_array(F.collect_list(F.struct("source_type", "url", "id"))).alias("sources"))
+    rows = sources.filter("status = 'approved'").join(named, "company_id", "left").withColumn("alone", F.when(F.col("slug").isNull(), F.col("id")))
+    return rows.groupBy("slug", "name", "alone").agg(F.sort_array(F.collect_list(F.struct("source_type", "url", "id"))).alias("sources")).drop("alone")
 
 
 def drop_superseded(sources: DataFrame) -> DataFrame:

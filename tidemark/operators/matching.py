@@ -8,7 +8,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
@@ -56,6 +56,18 @@ def _blocked(df: DataFrame, label: str, key: str, name: str) -> DataFrame:
     return df.join(sizes, label).withColumn(name, F.pmod(F.xxhash64(key), F.col(f"of_{name}")))
 
 
+def paired_blocks(queries: DataFrame, items: DataFrame) -> tuple[GroupedData, GroupedData]:
+    """Both tables by (label, block of items, block of queries), to be cogrouped: each row goes to every block of the other side that its label has."""
+    q, i = _blocked(queries, "label", "query_id", "block"), _blocked(items, "label", "item_id", "part")
+    sizes = lambda df, n: df.select("label", f"of_{n}").distinct()
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{n}") - 1)).alias(n)
+    q_rest, i_rest = [c for c in queries.columns if c != "label"], [c for c in items.columns if c != "label"]
+    both = q.drop("of_block").join(sizes(i, "part"), "label").select("label", "block", spread("part"), *q_rest)
+    held = i.drop("of_part").join(sizes(q, "block"), "label").select(F.col("label").alias("i_label"), F.col("part").alias("i_part"), spread("block"), *i_rest).withColumnRenamed("block", "i_block")
+    key = ["label", "part", "block"]  # two names for each, as both sides may come of one table
+    return both.groupBy(*key), held.groupBy(*[f"i_{c}" for c in key])
+
+
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, min_similarity: float | None = 0.55) -> DataFrame:
     """query_id, item_id, similarity: the k best items of each query within its label; none below min_similarity unless that is None or not above 0.
 
@@ -63,13 +75,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, min_similarity: fl
     a group of its own, so a label that holds a third of all items is as many groups as its size asks for. numpy multiplies a pair of blocks at once and keeps k for each query.
     Null and zero vectors match nothing; ties go to the lesser item_id.
     """
-    q = _blocked(queries.filter("q is not null"), "label", "query_id", "block")
-    i = _blocked(items.filter("v is not null"), "label", "item_id", "part")
-    sizes = lambda df, n: df.select("label", f"of_{n}").distinct()
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{n}") - 1)).alias(n)
-    blocks = sizes(q, "block")
-    q = q.drop("of_block").join(sizes(i, "part"), "label").select("label", "block", spread("part"), "query_id", "q")
-    i = i.drop("of_part").join(blocks, "label").select(F.col("label").alias("i_label"), F.col("part").alias("i_part"), spread("block"), "item_id", "v").withColumnRenamed("block", "i_block")
+    q, i = paired_blocks(queries.filter("q is not null").select("query_id", "q", "label"), items.filter("v is not null").select("item_id", "v", "label"))
 
     def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(vs):
@@ -84,17 +90,17 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, min_similarity: fl
             out.append(pd.DataFrame({"query_id": x, "item_id": ids[order], "similarity": row[order]}))
         return pd.concat(out)
 
-    key = ["label", "part", "block"]  # two names for each, as both sides may come of one table
-    rows = q.groupBy(*key).cogroup(i.groupBy(*[f"i_{c}" for c in key])).applyInPandas(best, "query_id long, item_id long, similarity double")
+    rows = q.cogroup(i).applyInPandas(best, "query_id long, item_id long, similarity double")
     rows = rows.filter(F.col("similarity") >= min_similarity) if min_similarity is not None and min_similarity > 0 else rows
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def match_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 20, min_similarity: float | None = 0.55, *, seniority: str | None = None, work_mode: str | None = None) -> DataFrame:
+def match_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 20, min_similarity: float | None = 0.55, *, seniority: str | None = None, work_mode: str | None = None, search: Callable[..., DataFrame] = vector_topk) -> DataFrame:
     """resume_id, job_id, similarity, place: the k best active jobs of each résumé among those of its own role families.
 
     resumes: id, parsed_role_families, embedding; jobs: id, role_family, embedding, is_active, seniority, work_mode. A résumé without families is held against every family.
+    ``search`` is ``vector_topk`` or ``vectors.vector_topk_pruned``.
     """
     fit = jobs.filter("is_active")
     for c, v in (("seniority", seniority), ("work_mode", work_mode)):
@@ -104,7 +110,7 @@ def match_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 20, min_similarity:
     some = resumes.filter(~none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.explode(F.array_distinct("parsed_role_families")).alias("label"))
     every = resumes.filter(none).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).join(F.broadcast(families)).select("query_id", "q", F.explode("labels").alias("label"))
     items = fit.select(F.col("id").alias("item_id"), F.col("embedding").alias("v"), F.coalesce("role_family", F.lit("other")).alias("label"))
-    found = vector_topk(some.unionByName(every), items, k, min_similarity)
+    found = search(some.unionByName(every), items, k, min_similarity)
     return found.select(F.col("query_id").alias("resume_id"), F.col("item_id").alias("job_id"), "similarity", "place")
 
 

@@ -55,7 +55,7 @@ def company_sources(spark: SparkSession, d: str) -> DataFrame:
     return L.company_sources(A.sources(spark, d)).select("company_id", "source_type", "url")
 
 
-@query(sql("co", "so", body="SELECT co.slug, co.name, string_agg(source_type || ' ' || url, ';' ORDER BY source_type, url, so.id) AS sources FROM so LEFT JOIN co ON co.id = so.company_id WHERE status = 'approved' GROUP BY ALL"))
+@query(sql("co", "so", body="SELECT co.slug, co.name, string_agg(source_type || ' ' || url, ';' ORDER BY source_type, url, so.id) AS sources FROM so LEFT JOIN co ON co.id = so.company_id WHERE status = 'approved' GROUP BY co.slug, co.name, CASE WHEN co.slug IS NULL THEN so.id END"))
 def browse_sources(spark: SparkSession, d: str) -> DataFrame:
     rows = L.browse_sources(A.sources(spark, d), A.companies(spark, d))
     return rows.select("slug", "name", F.array_join(F.transform("sources", lambda s: F.concat(s["source_type"], F.lit(" "), s["url"])), ";").alias("sources"))

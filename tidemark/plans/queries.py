@@ -13,6 +13,7 @@ from tidemark.operators import matching as M
 from tidemark.operators import reports as R
 from tidemark.operators import scores as C
 from tidemark.operators import snapshots as N
+from tidemark.operators import vectors as V
 from tidemark.sources import adapters as A
 from tidemark.streaming import changes as ST
 
@@ -362,6 +363,25 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return M.vector_topk(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label"), 5, None).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = A.table(spark, d, "embeddings")
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+
+
+@query()
+def vector_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return V.vector_topk_pruned(*_sides(spark, d), 5, None).select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0),
+n AS (SELECT query_id, least(count(*), 5) AS n FROM p GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS pairs, true AS enough FROM n""")
+def vector_topk_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The pruned search against the exact one: pairs of the exact one, and whether nine tenths or more were found."""
+    sides = _sides(spark, d)
+    found = V.topk_recall(V.vector_topk_pruned(*sides, 5, None), M.vector_topk(*sides, 5, None))
+    return found.select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in sorted(M.SEARCH_STOPWORDS))
 
 

@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import reports as R
+from tidemark.operators.reports import public_events
 
 PREVIEW = 5
 
 
-def public_events(events: DataFrame) -> DataFrame:
-    """Canonical, active events: all that readers see."""
-    return events.filter(F.col("is_canonical") & (F.col("status") == "active"))
-
-
 def _equal(df: DataFrame, **wanted: object) -> DataFrame:
     for c, v in wanted.items():
         if v is not None:

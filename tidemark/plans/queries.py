@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
 from tidemark.functions import text as T
+from tidemark.operators import listing as L
 from tidemark.operators import matching as M
 from tidemark.operators import reports as R
 from tidemark.operators import scores as C
@@ -165,12 +166,12 @@ def top_movers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("co", "jb", "ev", _SERIES, _LATEST, _ACTIVE, body="SELECT co.id, name, industry, round(momentum_score, 6) AS momentum_score, momentum_label, coalesce(active_jobs, 0) AS active_jobs FROM co LEFT JOIN la ON la.company_id = co.id LEFT JOIN aj ON aj.company_id = co.id"))
 def list_companies(spark: SparkSession, d: str) -> DataFrame:
-    return R.list_companies(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d)).select("id", "name", "industry", F.round("momentum_score", 6).alias("momentum_score"), "momentum_label", "active_jobs")
+    return L.list_companies(A.companies(spark, d), _scores(spark, d), A.jobs(spark, d), sort_by="momentum_score", sort_order="desc").select("id", "name", "industry", F.round("momentum_score", 6).alias("momentum_score"), "momentum_label", "active_jobs")
 
 
-@query(sql("co", "ev", body=f"SELECT ev.id, company_id, name AS company_name, title FROM ev JOIN co ON co.id = company_id WHERE event_type = 'funding' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY"))
+@query(sql("co", "ev", "sg", "pb", body=f"SELECT pb.id, company_id, name AS company_name, title FROM pb JOIN co ON co.id = company_id WHERE event_type = 'funding' AND observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY"))
 def list_events(spark: SparkSession, d: str) -> DataFrame:
-    return R.list_events(A.events(spark, d), A.companies(spark, d), event_type="funding", days=20, as_of=at(AS_OF)).select("id", "company_id", "company_name", "title")
+    return L.list_events(A.signals(spark, d), A.companies(spark, d), event_type="funding", days=20, as_of=at(AS_OF)).select("id", "company_id", "company_name", "title")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tidemark.operators import mentions as M
 
 COMPANIES = [(1, "Razorpay", None), (2, "Zomato", ["Eternal"]), (3, "Blinkit", []), (4, "Ola", None), (5, "Ola Electric", None), (6, "Open", None), (7, "Meta", None), (8, "Sarvam", ["Sarvam AI", " "]), (9, "Twin Co", None), (10, "twin co", None), (11, "X", None), (12, None, ["Node.js"])]
@@ -31,13 +33,14 @@ def companies(spark):
     return spark.createDataFrame(COMPANIES, "id long, name string, aliases array<string>")
 
 
-def test_against_plain_search(spark):
+@pytest.mark.parametrize("broadcast", [M.BROADCAST, 2])
+def test_against_plain_search(spark, broadcast):
     rng = random.Random(5)
     parts = ["Razorpay", "razorpay", "Zomato", "ETERNAL", "Blinkit", "Ola", "OLA", "Ola Electric", "Open", "open", "Meta", "meta", "Sarvam", "Sarvam AI", "Twin Co", "X", "Node.js", "raised", "hiring", "$5", "résumé", "的", ".", ",", "-", "_", "\n", "x" * 60]
     texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "", "."]) for _ in range(rng.randint(0, 40))) for _ in range(150)]
     docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "doc_id long, text string")
     got = {}
-    for r in M.find_mentions(docs, companies(spark)).collect():
+    for r in M.find_mentions(docs, companies(spark), broadcast).collect():
         got.setdefault(r.doc_id, {})[r.company_id] = [r.mentions, r.first_position, r.matched, r.distinctive]
     assert got == {i: want for i, t in enumerate(texts) if (want := plain(t))}
     assert any(len(v) > 2 for v in got.values())

@@ -67,6 +67,16 @@ def test_registry_cells(spark):
     assert G.registry_rows(one.limit(0)).count() == 0
 
 
+def test_lists_of_any_length(spark):
+    """Aliases and families are kept however many there are; a cap cuts only where one is given."""
+    many = [f"Name {i}" for i in range(1200)]
+    df = spark.createDataFrame([("Acme (" + ", ".join(many) + ")", many, [*many, "name 3", " "], ["data"] * 3 + many + ["Legal"])], "n string, a array<string>, b array<string>, role_families array<string>")
+    one = df.select(G.name_aliases(F.col("n"), F.lit("vcs")).alias("names"), G.merge_aliases(F.col("a"), F.col("b")).alias("merged"), T.clean_str_list(F.col("a"), 5).alias("cut")).first()
+    assert one.names == [*many, "Acme"] and one.merged == many and one.cut == many[:5]
+    rest = {c: F.lit(None).cast("array<string>" if c in ("skills", "locations") else "string") for c in ("skills", "seniority", "experience_years", "locations", "work_mode_preference")}
+    assert E.conform_resume(df.select("role_families").withColumns(rest)).first().role_families == ["data", "Legal"]
+
+
 def test_tiers_and_slugs(spark):
     want = {"https://x/feed": "rss", "gnews://q": "news_api", "https://jobs.lever.co/a": "ats_api", "https://apply.workable.com/a": "static_http", "https://x": "static_http"}
     df = spark.createDataFrame([(u,) for u in want], "u string")

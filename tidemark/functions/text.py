@@ -54,7 +54,8 @@ def bound(col: Column, body) -> Column:
 
 
 def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
-    """Whether a text holds one of the literals, by byte search."""
+    """Whether a text holds one of the literals, by byte search; one that holds another needs no search of its own."""
+    parts = tuple(p for p in parts if not any(q != p and q in p for q in parts))
     out = text.contains(parts[0])
     for p in parts[1:]:
         out = out | text.contains(p)
@@ -175,11 +176,12 @@ def is_unreadable(text: Column) -> Column:
     return F.length(normalize_document_text(text)) < 50
 
 
-def clean_str_list(col: Column, cap: int) -> Column:
-    """Trimmed, without blanks, the first of each spelling letter case aside, at most cap."""
+def clean_str_list(col: Column, cap: int | None = None) -> Column:
+    """Trimmed, without blanks, the first of each spelling letter case aside, at most cap where one is given."""
     trimmed = F.filter(F.transform(col, lambda x: strip(x)), lambda x: x != "")
     first = lambda t: bound(F.transform(t, F.lower), lambda low: F.filter(t, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
-    return F.slice(bound(trimmed, first), 1, cap)
+    kept = bound(trimmed, first)
+    return kept if cap is None else F.slice(kept, 1, cap)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -87,7 +87,7 @@ def normalize_career_jobs(pages: DataFrame, jobs: str = "jobs", page_url: str =
 
 def conform_resume(parsed: DataFrame) -> DataFrame:
     """Every field mended on its own: lists cleaned and cut, vocabularies kept, years of 0 to 60."""
-    known = F.filter(T.clean_str_list(F.col("role_families"), 10_000), lambda r: F.lower(r).isin(*ROLE_FAMILIES))
+    known = F.filter(T.clean_str_list(F.col("role_families")), lambda r: F.lower(r).isin(*ROLE_FAMILIES))
     mended = {
         "skills": T.clean_str_list(F.col("skills"), MAX_SKILLS),
         "role_families": known,

@@ -19,6 +19,8 @@ CUE = (
     r"co-founder|ceo|cto|cfo|coo|hir(?:ing|es|ed)|headcount|employees|engineers?|engineering|recruit\w*|onboard\w*|team|staff|announced|launches|launched|expands?|expansion|appoints?|appointed|"
     r"exits?|departs?|departure|resign\w*|steps\s+down|joins?|joined|promoted|elevated|named|leaves|leaving|crore|lakh|million|billion)\b|[$₹]\s?\d"
 )
+#: Up to so many spellings (a few MB) travel to every task, and texts are read once, without a shuffle.
+BROADCAST = 20_000
 MENTION = "doc_id long, company_id long, name string, matched string, mentions long, first_position long, distinctive boolean, rank long"
 
 
@@ -82,14 +84,25 @@ def _mentions(text: str, entries: list[dict]) -> list[tuple]:
     return sorted(map(tuple, found.values()), key=lambda m: (not m[5], -m[3], m[4], -len(m[2])))
 
 
-def find_mentions(docs: DataFrame, companies: DataFrame) -> DataFrame:
+def find_mentions(docs: DataFrame, companies: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """A row for each document (unique doc_id, text) and company (id, name, aliases) named in it; rank 1 is the likeliest subject.
 
-    Spellings are entered by their first two words; a document's distinct one and two words at places where a name may start meet them in an equi-join, so no
-    spelling is compared with every document and none travels to every task; only texts with a hit are then read in order, each with the few spellings
-    it may hold. Null or empty texts and names give no rows.
+    Spellings are entered by their first two words; a text is searched only for those entered by words at places where a name may start. Up to ``broadcast``
+    spellings are sent to every task and each text is read once. Of more, none travels to every task: documents' distinct one and two words meet them in
+    an equi-join, and texts with a hit are joined with the few spellings they may hold. Null or empty texts and names give no rows.
     """
     index = spellings(companies).withColumn("anchor", _anchor_of("key"))
+    few, held = index.limit(broadcast + 1).collect(), {}
+    for r in few:
+        held.setdefault(r["anchor"], []).append(r.asDict())
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                entries = [e for a in _anchors(text, _places(text)[0].tolist()) for e in held.get(a, ())]
+                out += [(i, *m, r + 1) for r, m in enumerate(_mentions(text, entries))] if entries else []
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MENTION.split(", ")])
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,6 +116,8 @@ def find_mentions(docs: DataFrame, companies: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTION.split(", ")])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") >= LEAST_NAME)
+    if len(few) <= broadcast:
+        return texts.mapInPandas(whole, MENTION)
     hits = texts.mapInPandas(runs, "doc_id long, anchor string").join(index, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("key", "company_id", "name", "spelling")).alias("entries"))
     return texts.join(hits, "doc_id").mapInPandas(scan, MENTION)
 

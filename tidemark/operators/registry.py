@@ -126,13 +126,13 @@ def name_aliases(name: Column, section: Column) -> Column:
     outer = F.transform(F.split(_tidy(F.regexp_replace(name, r"\([^)]+\)", "")), r"\s*/\s*"), lambda p: _tidy(F.regexp_replace(p, QUALIFIER, "")))
     outer = F.flatten(F.transform(outer, lambda p: F.array(p, company_name(p, section))))
     fit = lambda own: F.filter(F.concat(inner, outer), lambda a: (F.length(a) > 2) & ~F.lower(a).isin(*GENERIC) & a.rlike(r"\p{L}") & (F.lower(a) != own))
-    return T.clean_str_list(T.bound(F.lower(company_name(name, section)), fit), 1000)
+    return T.clean_str_list(T.bound(F.lower(company_name(name, section)), fit))
 
 
 def merge_aliases(a: Column, b: Column) -> Column:
     """The union, letter case aside, in order; the first spelling stays."""
     none = F.expr("CAST(array() AS array<string>)")
-    return T.clean_str_list(F.concat(F.coalesce(a, none), F.coalesce(b, none)), 10_000)
+    return T.clean_str_list(F.concat(F.coalesce(a, none), F.coalesce(b, none)))
 
 
 def company_domain(*urls: Column) -> Column:

@@ -3,11 +3,13 @@
 import bisect
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint, lm, packing, quality
 from tidemark.llm.tokens import Encoder
@@ -22,6 +24,15 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
 
 
+def test_buckets_by_cuts(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 5, 50, 300):
+        cut = sorted(rng.sample(range(-1000, 1000), n), reverse=True)
+        xs = [*cut, *(rng.randint(-1100, 1100) for _ in range(60))]
+        got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", fingerprint._at_least(cut, F.col("x")).alias("n")).collect()
+        assert [(r.x, r.n) for r in got] == [(x, sum(c >= x for c in cut)) for x in xs]
+
+
 def test_fingerprint_columns(docs):
     order = [(i, t or "") for i, t, _ in sorted(ROWS, key=lambda r: -r[0])]
     want = {}

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, parts
@@ -33,6 +34,8 @@ GRID = 32
 CHUNK = 1 << 20
 #: A bucket of neighbouring documents has about so many code points, where that makes more buckets than four a partition.
 BUCKET_CHARS = 32 << 20
+#: Buckets whose edges the driver holds (a few MB); with so many, buckets of larger tables have more documents, which a task reads as a stream.
+BUCKETS = 1 << 17
 _POWERS = [np.ones(1, np.uint32) for _ in PRIMES]
 
 
@@ -131,6 +134,15 @@ def likeness(a: str, b: str) -> float:
     return max(min(total, most), *blocks) * wide / max(na, nb)
 
 
+def _at_least(cut: list[int], x: Column) -> Column:
+    """How many of the descending numbers are x or more: found among every so manieth first, then in the stretch behind it."""
+    wide = max(1, math.isqrt(len(cut)))
+    array = lambda c: F.split(F.lit(",".join(map(str, c))), ",").cast("array<long>") if c else F.expr("cast(array() as array<long>)")
+    count = lambda a: F.size(F.filter(a, lambda c: c >= x))
+    stretch = F.greatest(count(array(cut[::wide])) - 1, F.lit(0)) * wide
+    return stretch + count(F.slice(array(cut), stretch + 1, wide))
+
+
 def followed(docs: DataFrame) -> tuple[DataFrame, int]:
     """Documents dealt to buckets that descend by id; the first document of each later bucket also ends the one before it.
 
@@ -139,12 +151,12 @@ def followed(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     spark, base = docs.sparkSession, id_and_text(docs).withColumn("th", F.xxhash64("text"))
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    most = min(max(4 * parts(spark), size // BUCKET_CHARS), 10_000)  # what percentile_approx can tell apart; buckets are read as streams
-    cut = base.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / most for i in range(1, most)], 10_000)).first()[0] or []
+    most = max(4 * parts(spark), min(size // BUCKET_CHARS, BUCKETS))
+    places = F.split(F.lit(",".join(repr(i / most) for i in range(1, most))), ",").cast("array<double>")
+    cut = base.filter("doc_id is not null").agg(F.percentile_approx("doc_id", places, 4 * most)).first()[0] or []
     cut = sorted(set(cut), reverse=True)
-    bounds = F.array(*[F.lit(c) for c in cut]).cast("array<long>")
     # bucket 0 holds the largest ids; null ids lie behind all others, dealt by their text's hash
-    bucket = F.when(F.col("doc_id").isNull(), len(cut) + 1 + F.pmod(F.shiftright("th", 58), F.lit(64))).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), len(cut) + 1 + F.pmod(F.shiftright("th", 58), F.lit(64))).otherwise(_at_least(cut, F.col("doc_id")))
     base = base.withColumn("bucket", bucket.cast("long")).withColumn("own", F.lit(True))
     edges = base.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), -F.col("th").cast("decimal(20,0)"))).alias("e")).select("bucket", "e.doc_id", F.expr("cast(-e.col2 as long)").alias("th")).orderBy("bucket").collect()
     if not edges:

@@ -3,7 +3,8 @@
 Each source has a mean repetition rate: its target share of the budget over what it has. A document's count is the
 inverse of the Poisson distribution function with that mean at a uniform number seeded by a hash of its id (for rates over
 ``PART`` a sum of such draws), so a rerun or a recomputed task gives the same copies. The documents are exploded by their counts and dealt over the cluster in order of
-a second hash of (id, copy).
+a second hash of (id, copy), which is uniform, so a copy's place is a share of that number's range and nothing is sampled. The table of sources is
+written once, by one pass over the documents; a second one draws.
 
 Defined results: null source is a source of its own; weights may be given for any sources, others default to a share by
 ``alpha``; a source of weight 0 or of no characters is repeated 0 times; null text has size 0 but is still drawn at its source's rate;
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lookup, parts
+from .common import lookup, materialise, parts
 
 SEED = "mix-1"
 #: Target shares follow size ** ALPHA: below 1, small sources are raised and hot ones lowered.
@@ -36,8 +37,8 @@ def uniform(*cols: Column, seed: str = SEED) -> Column:
 
 
 def rates(docs: DataFrame, alpha: float = ALPHA, budget: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
-    """source, rate: mean copies of each source's documents, so that the expected total is budget times the characters there are."""
-    size = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size"))
+    """source, rate, n: mean copies of each source's documents, so that the expected total is budget times the characters there are; how many documents it has."""
+    size = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size"), F.count("*").alias("n"))
     if weights is None:
         size = size.withColumn("weight", F.pow("size", F.lit(alpha)))
     else:
@@ -45,7 +46,7 @@ def rates(docs: DataFrame, alpha: float = ALPHA, budget: float = 1.0, weights: D
         size = size.join(w, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").fillna(0.0, ["weight"])
     total = size.agg(F.sum("size").alias("sizes"), F.sum("weight").alias("weights"))
     rate = F.when((F.col("size") > 0) & (F.col("weights") > 0), F.lit(float(budget)) * F.col("sizes") * F.col("weight") / F.col("weights") / F.col("size")).otherwise(0.0)
-    return size.join(F.broadcast(total)).select("source", rate.alias("rate"))
+    return size.join(F.broadcast(total)).select("source", rate.alias("rate"), "n")
 
 
 def part_table() -> list[float]:
@@ -59,27 +60,27 @@ def part_table() -> list[float]:
 
 
 def poisson_tables(rate: DataFrame) -> DataFrame:
-    """source, parts (whole PARTs in its rate), cdf: ascending distribution function of the rest's Poisson law, as far as a double can tell it from 1."""
+    """source, n, parts (whole PARTs in its rate), cdf: ascending distribution function of the rest's Poisson law, as far as a double can tell it from 1."""
     whole = F.floor(F.col("rate") / PART)
-    rate = rate.filter("rate > 0").select("source", whole.alias("parts"), (F.col("rate") - whole * PART).alias("rate"))
+    rate = rate.filter("rate > 0").select("source", "n", whole.alias("parts"), (F.col("rate") - whole * PART).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("long")
-    k = rate.select("source", "parts", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    k = rate.select("source", "n", "parts", "rate", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
     run = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     log_fact = F.sum(F.when(F.col("k") > 0, F.ln("k")).otherwise(0.0)).over(run)
     pmf = F.when(F.col("rate") > 0, F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("log_fact"))).otherwise((F.col("k") == 0).cast("double"))
     cdf = k.withColumn("log_fact", log_fact).withColumn("pmf", pmf).withColumn("cdf", F.sum("pmf").over(run))
-    return cdf.groupBy("source", "parts").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
+    return cdf.groupBy("source", "n", "parts").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
 
 
 def _mixed(docs: DataFrame, alpha: float, budget: float, weights: DataFrame | None, seed: str) -> DataFrame:
     name = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit(""))  # noqa: E731  a key that is never null
-    table = poisson_tables(rates(docs, alpha, budget, weights)).select(name(F.col("source")).alias("__tm_s"), F.col("parts").alias("__tm_parts"), F.col("cdf").alias("__tm_cdf"))
-    rows, few = docs.withColumn("__tm_s", name(docs["source"])), docs.select("source").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
-        joined = rows.join(F.broadcast(table), "__tm_s")
+    table = materialise(poisson_tables(rates(docs, alpha, budget, weights)), "rates")
+    table = table.select(name(F.col("source")).alias("__tm_s"), F.col("n").alias("__tm_size"), F.col("parts").alias("__tm_parts"), F.col("cdf").alias("__tm_cdf"))
+    rows, (sources, total) = docs.withColumn("__tm_s", name(docs["source"])), table.agg(F.count("*"), F.sum("__tm_size")).first()
+    if sources <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(table.drop("__tm_size")), "__tm_s")
     else:
-        sizes = rows.groupBy("__tm_s").agg(F.count("*").alias("__tm_size"))
-        joined = lookup(rows, table.join(sizes, "__tm_s"), ["__tm_s"], "__tm_size", docs.count(), hot=BROADCAST_ROWS)
+        joined = lookup(rows, table, ["__tm_s"], "__tm_size", total, hot=BROADCAST_ROWS)
     below = lambda cdf, u: F.size(F.filter(cdf, lambda c: c <= u))
     whole = F.split(F.lit(",".join(map(repr, part_table()))), ",").cast("array<double>")
     draws = F.transform(F.sequence(F.lit(1).cast("long"), "__tm_parts"), lambda j: below(whole, uniform(F.col("doc_id"), j, seed=f"{seed}:p")))
@@ -88,7 +89,8 @@ def _mixed(docs: DataFrame, alpha: float, budget: float, weights: DataFrame | No
     rows = joined.withColumn("__tm_n", below("__tm_cdf", F.col("__tm_u")) + more).filter("__tm_n > 0")
     rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tm_n").cast("long") - 1)).alias("__tm_copy"))
     rows = rows.withColumn("__tm_key", uniform(F.col("doc_id"), F.col("__tm_copy"), seed=f"{seed}:o"))
-    return rows.repartitionByRange(parts(docs.sparkSession), "__tm_key").sortWithinPartitions("__tm_key")
+    n = parts(docs.sparkSession)
+    return rows.repartitionById(n, F.floor(F.col("__tm_key") * n).cast("int")).sortWithinPartitions("__tm_key")
 
 
 def mix(docs: DataFrame, alpha: float = ALPHA, budget: float = 1.0, weights: DataFrame | None = None, seed: str = SEED) -> DataFrame:

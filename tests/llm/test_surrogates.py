@@ -99,6 +99,36 @@ def test_corpus(spark, bound):
     assert sum(b in occurring for b in dense) == 0
 
 
+def test_brackets_far_ahead(spark):
+    """A run of occurring values longer than the first look ahead still closes on free ones; a format that is full keeps its next values."""
+    run = ["10.0.0.77", *(S.surrogate("ip", "10.0.0.77", j) for j in range(1, 60))]
+    full = [f"{c}@x.com" for c in string.ascii_lowercase]
+    octets = [".".join(map(str, (1, 2, 3, i))) for i in range(10)]
+    assert len({*run}) == 60
+    docs = spark.createDataFrame([(1, " ; ".join(run), None), (2, " ; ".join(full + octets), None)], SCHEMA)
+    steps = {r.canon: r.step for r in S.resolve(S.entities(docs)).collect() if r.kind == "ip"}
+    new = [S.surrogate("ip", x, steps.get(x, 1)) for x in run]
+    assert len({*new}) == 60 and not {*new} & {*run} and max(steps.values()) == 119
+    out = {r.doc_id: r.text.split(" ; ") for r in S.replace(docs).collect()}
+    assert len({*out[1], *out[2]}) == 96 and out[1] == new
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "same"),
+    [
+        ("Mr O'Brien came", ["surname"], r"Mr [A-Z]'[A-Z]\w{4} came"),
+        ("Anna van der Berg left; Berg cried", ["given", "surname", "surname"], r"(\w{4}) van der (\w{4}) left; \2 cried"),
+        ("Mohammed Al-Fayed", ["given", "surname"], r"\w{8} [A-Z]\w-[A-Z]\w{4}"),
+        ("call me at 5551234567.", ["phone"], r"call me at \d{10}\."),
+        ("Order 5551234567", [], "Order 5551234567"),
+        ("Phone rings", [], "Phone rings"),
+    ],
+)
+def test_wider_detection(text, kinds, same):
+    out, found = S.rewrite(text, {})
+    assert found == kinds and re.fullmatch(same, out) and (out != text or not kinds)
+
+
 def test_hidden_collisions_move_on(spark):
     """An entity whose next value occurs takes the one its bracket closes at."""
     first = "10.0.0.77"

@@ -13,7 +13,8 @@ with cycle walking) puts them on one cycle; an entity's surrogate is the next va
 
 The collision check then keeps surrogates off values that occur in the corpus: where the next value occurs, the entity takes
 the value further on that pairs with it as brackets pair (an occurring value opens, a free one closes), which stays one to one.
-Where no bracket closes within ``STEPS`` values, as in a format whose values nearly all occur, the next value is kept: it is
+The search looks ``STEPS`` values ahead and four times as far for those still open, to the end of the cycle if need be. Where none closes on
+the whole cycle, more than half of the format's values occur and there are not free values for all: the next value is kept, which is
 another occurring entity's, yet still nobody else's surrogate. Nothing is drawn again and nothing is raised. Entities that went
 further than one step reach the texts in a broadcast table of up to ``BROADCAST`` rows, else by a join on the documents that mention them.
 
@@ -21,7 +22,7 @@ The key is an argument, else the session's ``spark.tidemark.surrogates.key``; a
 Formats never overlap: the classes of characters that stand for each other partition each block of letters, a format's name holds all of them, padded octets of addresses
 stay padded, and hexadecimal secrets are a format apart from other secrets, which are walked past hexadecimal values.
 
-What is not found: names without a title or a known given name, names in scripts without capitals, bare runs of under 13 digits.
+What is not found: names without a title or a known given name, names in scripts without capitals, runs of under 13 digits without grouping or a word for telephone before them.
 
 Defined results: null text stays null and empty text empty, with 0 entities; repeated rows get equal texts; an empty table gives an
 empty table; extra columns are kept (n_entities and entity_kinds of ``replace`` supersede columns of those names).
@@ -36,7 +37,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +60,13 @@ FEISTEL_ROUNDS = 8
 GIVEN = {
     ("latin", "f"): (
         "Anna Maria Laura Julia Sophie Emma Clara Elena Marie Camille Lucia Carmen Ingrid Nadia Olivia Alice Mary Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa "
-        "Margaret Sandra Emily Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Angela Helen Katharina Petra Monika Claudia Isabelle Nathalie Pilar Dolores Priya"
+        "Margaret Sandra Emily Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Angela Helen Katharina Petra Monika Claudia Isabelle Nathalie Pilar Dolores Priya "
+        "Fatima Aisha Leila Zainab Yuki Sakura Hana Mei Ananya Deepika Amina Ngozi Ebru Agnieszka Zofia Astrid Giulia Chiara Ines Beatriz"
     ),
     ("latin", "m"): (
         "Thomas Peter Michael Daniel Martin Paul Marco David Lukas Pierre Antoine Carlos Miguel Stefan Oliver James John Robert William Richard Joseph Charles Christopher Matthew Anthony "
-        "Donald Steven Andrew Joshua Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Nicholas Eric Stephen Hans Klaus Wolfgang Jean Philippe Javier Alejandro Rahul"
+        "Donald Steven Andrew Joshua Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Nicholas Eric Stephen Hans Klaus Wolfgang Jean Philippe Javier Alejandro Rahul "
+        "Mohammed Muhammad Mohamed Ahmed Ali Omar Hassan Ibrahim Hiroshi Kenji Takeshi Haruto Arjun Vikram Kwame Mehmet Piotr Krzysztof Lars Giovanni Luca Diego Joao Rafael"
     ),
     ("latin", "-"): "Wei Ming Jing Xin",
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана",
@@ -89,6 +92,7 @@ _NUMBER = re.compile(
 _HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 _ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_/+-]{8,})")
 _CLOUD = re.compile(rf"\b(?:{'|'.join(CLOUD_PREFIXES)})[A-Z0-9]{{16}}\b")
+_CUED = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|fax|call|dial)\b(?:[ .:#]+(?:me|us|is|at|on|no|number)\b){0,2}[ .:#]+(\d{7,12})(?![\w-])", re.IGNORECASE)
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])")
 
@@ -104,13 +108,16 @@ def _capitals() -> str:
     return "".join(out)
 
 
-_WORD = rf"[{_capitals()}][^\W\d_]+"
+_CAPITAL = rf"[{_capitals()}]"
+_WORD = rf"{_CAPITAL}(?:['’]{_CAPITAL})?[^\W\d_]+"
+# Words without a capital between given name and surname.
+_PARTICLES = "van von der den de del della da das dos di du la le el al bin ibn ben ter ten zu zum zur".replace(" ", "|")
 _NAME = rf"{_WORD}(?:-{_WORD})*"
 _KNOWN = "|".join(sorted(GENDER, key=len, reverse=True))
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _PERSON = re.compile(
     rf"\b(?:(?P<title>{_TITLE})\.? (?:(?:{_TITLE})\.? )*(?:(?P<first>{_NAME}) )?|(?P<given>{_KNOWN}) )"
-    rf"(?P<middle>(?:(?:{_KNOWN}|[A-Z]\.) )*)(?P<last>(?!(?:{_TITLE})\b){_NAME})\b"
+    rf"(?P<middle>(?:(?:{_KNOWN}|[A-Z]\.) )*)(?:(?:{_PARTICLES}) ){{0,3}}(?P<last>(?!(?:{_TITLE})\b){_NAME})\b"
 )
 _CAPITALISED = re.compile(rf"\b{_NAME}\b")
 Found = tuple[int, int, str]
@@ -148,6 +155,7 @@ def _numbers(text: str) -> Iterator[Found]:
         if m.lastgroup == "phone" and not 7 <= digits <= 15 or (m["phone"] or "").startswith("0") and " " in m[0] and digits < 9:
             continue
         yield m.start(), m.end(), m.lastgroup
+    yield from ((m.start(1), m.end(1), "phone") for m in _CUED.finditer(text))
     for m in _IBAN.finditer(text):
         if iban_rest(canonical("iban", m[0])) == 1:
             yield m.start(), m.end(), "iban"
@@ -387,13 +395,29 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def _values(rows: DataFrame, key: bytes, low: int, high: int) -> DataFrame:
-    """kind, canon, step, value: the values low .. high further on; e-mails have none, as their hosts are checked."""
+    """kind, canon, step, value: the values low .. high further on, null where the cycle is back at the entity; e-mails have none, as their hosts are checked."""
+
+    def ahead(kind: str, canon: str) -> Iterator[tuple]:
+        for j in range(low, high + 1):
+            value = surrogate(kind, canon, j, key)
+            yield kind, canon, j, None if value == canon else value
+            if value == canon:
+                return
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["kind", "canon", "step", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(k, c, j, surrogate(k, c, j, key)) for k, c in zip(b["kind"].to_pylist(), b["canon"].to_pylist(), strict=True) for j in range(low, high + 1)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["kind", "canon", "step", "value"])
+            out = []
+            for k, c in zip(b["kind"].to_pylist(), b["canon"].to_pylist(), strict=True):
+                for x in ahead(k, c):
+                    out.append(x)
+                    if len(out) >= 50_000:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
 
     return rows.filter("kind != 'email'").select("kind", "canon").mapInArrow(run, "kind string, canon string, step long, value string")
 
@@ -402,12 +426,23 @@ def resolve(found: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
     """kind, canon, step of the entities that go further than one step, as their next value occurs; on disk."""
     occurs = found.select("kind", F.col("canon").alias("value"))
     taken = materialise(_values(found, key, 1, 1).join(occurs, ["kind", "value"], "left_semi").select("kind", "canon"), "taken")
-    ahead = _values(taken, key, 2, STEPS).join(occurs.withColumn("there", F.lit(1)), ["kind", "value"], "left")
     along = Window.partitionBy("kind", "canon").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     # the entity and its next value have opened a bracket each
-    depth = F.sum(F.when(F.col("there").isNull(), -1).otherwise(1)).over(along) + 2
-    closed = ahead.withColumn("depth", depth).filter("depth = 0").groupBy("kind", "canon").agg(F.min("step").alias("step"))
-    return materialise(closed, "steps")
+    closed, still, low, high = [], taken.withColumn("depth", F.lit(2).cast("long")), 2, STEPS
+    while True:
+        ahead = _values(still, key, low, high).join(occurs.withColumn("there", F.lit(1)), ["kind", "value"], "left")
+        change = F.when(F.col("value").isNull(), 0).when(F.col("there").isNull(), -1).otherwise(1)
+        # the running sum starts from what the steps before left open
+        depths = ahead.withColumn("change", change).withColumn("run", F.sum("change").over(along)).join(still, ["kind", "canon"])
+        seen = depths.groupBy("kind", "canon").agg(
+            F.min(F.when(F.col("depth") + F.col("run") == 0, F.col("step"))).alias("step"), F.max(F.col("value").isNull()).alias("ended"),
+            (F.max("depth") + F.sum("change")).alias("depth"),
+        )
+        seen = materialise(seen, "steps")
+        closed.append(seen.filter("step is not null").select("kind", "canon", "step"))
+        still, low, high = seen.filter("step is null and not ended").select("kind", "canon", "depth"), high + 1, high * 4
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
 
 
 def session_key(spark: SparkSession) -> bytes:

@@ -50,6 +50,17 @@ def _anchor(key: str) -> str:
     return key[: ends[-1]] if ends else key[0]
 
 
+def _inner(c: str) -> bool:
+    """Whether a character is part of a word."""
+    return c.isalnum() or c == "_"
+
+
+def _first_word(key: str) -> str:
+    """The first word in lower case, with one form of the letter that has another at a word's end; empty if there are signs alone."""
+    m = re.search(r"\w+", key)
+    return m[0].lower().replace("ς", "σ") if m else ""
+
+
 @F.pandas_udf(StringType())
 def _anchor_of(key: pd.Series) -> pd.Series:
     return key.map(_anchor)
@@ -67,11 +78,15 @@ def spellings(companies: DataFrame) -> DataFrame:
 def _mentions(text: str, entries: list[dict]) -> list[tuple]:
     """Left to right, the longest spelling at each place; an ordinary or short name needs its own casing and a cue near it."""
     known = {e["key"]: e for e in entries}
-    lengths, (starts, ends), at, found = sorted({len(k) for k in known}, reverse=True), _places(text), 0, {}
-    for s in starts.tolist():
-        if s < at:
+    sizes, at, found = {}, 0, {}  # lengths of the spellings, the longest first, by their first word; of those led by a sign under ""
+    for k in sorted(known, key=len, reverse=True):
+        sizes.setdefault(_first_word(k) if _inner(k[0]) else "", {})[len(k)] = None
+    for m in re.finditer(r"\w+|[^\w\s]" if "" in sizes else r"\w+", text):
+        s = m.start()
+        fit = sizes.get(_first_word(m[0]))
+        if not fit or s < at or (s and (text[s - 1] == "." or _inner(text[s - 1]))):
             continue
-        hit = next((text[s : s + n] for n in lengths if s + n <= len(text) and ends[s + n] and text[s : s + n].lower() in known), None)
+        hit = next((text[s : s + n] for n in fit if s + n <= len(text) and not (s + n < len(text) and _inner(text[s + n])) and text[s : s + n].lower() in known), None)
         if hit is None:
             continue
         at, e = s + len(hit), known[hit.lower()]
@@ -88,19 +103,19 @@ def find_mentions(docs: DataFrame, companies: DataFrame, broadcast: int = BROADC
     """A row for each document (unique doc_id, text) and company (id, name, aliases) named in it; rank 1 is the likeliest subject.
 
     Spellings are entered by their first two words; a text is searched only for those entered by words at places where a name may start. Up to ``broadcast``
-    spellings are sent to every task and each text is read once. Of more, none travels to every task: documents' distinct one and two words meet them in
+    spellings, by their first word, are sent to every task and each text is read once. Of more, none travels to every task: documents' distinct one and two words meet them in
     an equi-join, and texts with a hit are joined with the few spellings they may hold. Null or empty texts and names give no rows.
     """
     index = spellings(companies).withColumn("anchor", _anchor_of("key"))
     few, held = index.limit(broadcast + 1).collect(), {}
     for r in few:
-        held.setdefault(r["anchor"], []).append(r.asDict())
+        held.setdefault(_first_word(r["key"]), []).append(r.asDict())
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                entries = [e for a in _anchors(text, _places(text)[0].tolist()) for e in held.get(a, ())]
+                entries = [e for w in {"", *map(_first_word, set(re.findall(r"\w+", text)))} for e in held.get(w, ())]
                 out += [(i, *m, r + 1) for r, m in enumerate(_mentions(text, entries))] if entries else []
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MENTION.split(", ")])
 

@@ -83,7 +83,7 @@ SECRET_NAMES = ("token", "secret", "password", "passwd", "apikey", "api_key", "a
 CLOUD_PREFIXES = ("AKIA", "ASIA")
 
 _NUMBER = re.compile(
-    r"(?<![\w.+-])(?:(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\d])(?!\.\d)"
+    r"(?=[\d+(])(?<![\w.+-])(?:(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\d])(?!\.\d)"
     r"|(?P<card>\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?!\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!\d)"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?|\+\d{8,15}"
@@ -92,7 +92,10 @@ _NUMBER = re.compile(
 _HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 _ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_/+-]{8,})")
 _CLOUD = re.compile(rf"\b(?:{'|'.join(CLOUD_PREFIXES)})[A-Z0-9]{{16}}\b")
-_CUED = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|fax|call|dial)\b(?:[ .:#]+(?:me|us|is|at|on|no|number)\b){0,2}[ .:#]+(\d{7,12})(?![\w-])", re.IGNORECASE)
+_BARE = re.compile(r"\d{7,12}(?![\w-])")
+_CUE = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|fax|call|dial)\b(?:[ .:#]{1,6}(?:me|us|is|at|on|no|number)\b){0,2}[ .:#]{1,6}$", re.IGNORECASE)
+#: More code points than what ``_CUE`` may cover.
+_CUE_WINDOW = 48
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])")
 
@@ -116,7 +119,7 @@ _NAME = rf"{_WORD}(?:-{_WORD})*"
 _KNOWN = "|".join(sorted(GENDER, key=len, reverse=True))
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _PERSON = re.compile(
-    rf"\b(?:(?P<title>{_TITLE})\.? (?:(?:{_TITLE})\.? )*(?:(?P<first>{_NAME}) )?|(?P<given>{_KNOWN}) )"
+    rf"\b(?={_CAPITAL})(?:(?P<title>{_TITLE})\.? (?:(?:{_TITLE})\.? )*(?:(?P<first>{_NAME}) )?|(?P<given>{_KNOWN}) )"
     rf"(?P<middle>(?:(?:{_KNOWN}|[A-Z]\.) )*)(?:(?:{_PARTICLES}) ){{0,3}}(?P<last>(?!(?:{_TITLE})\b){_NAME})\b"
 )
 _CAPITALISED = re.compile(rf"\b{_NAME}\b")
@@ -155,7 +158,7 @@ def _numbers(text: str) -> Iterator[Found]:
         if m.lastgroup == "phone" and not 7 <= digits <= 15 or (m["phone"] or "").startswith("0") and " " in m[0] and digits < 9:
             continue
         yield m.start(), m.end(), m.lastgroup
-    yield from ((m.start(1), m.end(1), "phone") for m in _CUED.finditer(text))
+    yield from ((m.start(), m.end(), "phone") for m in _BARE.finditer(text) if _CUE.search(text, max(0, m.start() - _CUE_WINDOW), m.start()))
     for m in _IBAN.finditer(text):
         if iban_rest(canonical("iban", m[0])) == 1:
             yield m.start(), m.end(), "iban"

@@ -92,6 +92,7 @@ _NUMBER = re.compile(
 _HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 _ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_/+-]{8,})")
 _CLOUD = re.compile(rf"\b(?:{'|'.join(CLOUD_PREFIXES)})[A-Z0-9]{{16}}\b")
+# a line break may stand before the number, after other separators
 _BARE = re.compile(r"\d{7,12}(?![\w-])")
 _CUE = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|fax|call|dial)\b(?:[ .:#]{1,6}(?:me|us|is|at|on|no|number)\b){0,2}[ .:#]{1,6}$", re.IGNORECASE)
 #: More code points than what ``_CUE`` may cover.

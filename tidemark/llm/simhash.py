@@ -40,7 +40,12 @@ def simhash(text: bytes, size: int = SHINGLE, seed: int = 42) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), np.uint64).view(np.uint8).reshape(-1, 8)
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of 64-bit hashes."""
+    h = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(h[:, j], minlength=256) @ _BITS for j in range(8)])
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 

@@ -47,6 +47,13 @@ def test_model_answers_with_other_shapes(spark):
     assert sorted((r.i, r.title) for r in E.explode_model_events(df, "raw").collect()) == [(1, "a"), (2, "b"), (2, "c"), (6, "e")]
 
 
+def test_model_answers_are_read_once(spark):
+    """Parsing is not repeated wherever its result is used."""
+    df = spark.createDataFrame([(1, '{"events": [{"title": "a"}]}')], "i int, raw string")
+    plan = E.validate_extracted(E.explode_model_events(df, "raw"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") <= 2 and plan.count("from_json") <= 2, plan
+
+
 def test_career_jobs(spark):
     jobs = [("  Data   Engineer ", " Pune  City ", "https://x/1"), ("data engineer", "pune city", "HTTPS://X/2"), ("All", None, "Data"), ("ab", None, None), (None, None, None), ("x" * 201, None, None), ("All", "", "again")]
     df = spark.createDataFrame([(1, jobs, "https://page")], "company_id long, jobs array<struct<title string, location string, url string>>, page_url string")

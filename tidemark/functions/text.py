@@ -202,14 +202,22 @@ def normalize_document_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, " ?\n ?", "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
+def _model_variant(raw: Column) -> Column:
+    bare = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*\z", "$1"))
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
+
+
 def parse_model_json(raw: Column) -> Column:
     """The JSON object in a model's answer as a variant: without code fences, or else between the outermost braces; null for anything else."""
-    bare = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*\z", "$1"))
-    whole = F.try_parse_json(bare)
-    found = F.when(whole.isNotNull(), whole).otherwise(F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))))
+    found = _model_variant(raw)
     return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
 
 
+def model_json(raw: Column) -> Column:
+    """As ``parse_model_json``, as compact JSON, which begins with a brace if it is an object, and read once."""
+    return F.to_json(_model_variant(raw))
+
+
 # Years of experience that fit a level.
 LEVEL_YEARS = {"intern": (0, 1), "junior": (0, 2), "mid": (2, 5), "senior": (5, 9), "staff": (8, 14), "principal": (10, 20), "director": (10, 25), "vp": (12, 30), "c_level": (15, 40)}
 

@@ -44,14 +44,16 @@ def conform_number(col: Column, least: float, most: float) -> Column:
 def explode_model_events(answers: DataFrame, raw: str) -> DataFrame:
     """The caller's columns but ``raw``, and pos and the event's six fields as texts: a row for each object of the list under events, or else data, results or items."""
     kept = [c for c in answers.columns if c != raw]
-    found = F.to_json(T.parse_model_json(F.col(raw)))
-    lists = [F.get_json_object(found, f"$.{k}") for k in ("events", "data", "results", "items")]
+    # a step for each, and fields out of a generator: the optimiser would put an answer's parsing into every place that reads it
+    found = answers.select(*kept, T.model_json(F.col(raw)).alias("__tm_json"))
+    names = ("events", "data", "results", "items")
+    lists = found.select(*kept, *[F.when(F.col("__tm_json").startswith("{"), F.get_json_object("__tm_json", f"$.{k}")).alias(f"__tm_{k}") for k in names])
     # only an absent or null ``events`` lets the others speak, and of those the first that is a list
-    other = F.coalesce(*[F.when(x.startswith("["), x) for x in lists[1:]])
-    listed = F.when(lists[0].isNotNull(), lists[0]).otherwise(other)
-    items = F.when(listed.startswith("["), F.from_json(listed, "array<string>"))
-    rows = answers.select(*kept, F.posexplode(items).alias("pos", "__tm_item")).filter(F.trim("__tm_item").startswith("{"))
-    return rows.withColumn("__tm_e", F.from_json("__tm_item", _EVENT[len("struct<") : -1])).select(*kept, F.col("pos").cast("long").alias("pos"), "__tm_e.*")
+    other = F.coalesce(*[F.when(F.col(f"__tm_{k}").startswith("["), F.col(f"__tm_{k}")) for k in names[1:]])
+    listed = lists.select(*kept, F.coalesce("__tm_events", other).alias("__tm_list"))
+    items = F.when(F.col("__tm_list").startswith("["), F.from_json("__tm_list", "array<string>"))
+    event = lambda x, i: F.struct(i.cast("long").alias("pos"), F.trim(x).startswith("{").alias("__tm_is"), F.from_json(x, _EVENT[len("struct<") : -1]).alias("__tm_e"))
+    return listed.select(*kept, F.inline_outer(F.transform(items, event))).filter("__tm_is").select(*kept, "pos", "__tm_e.*")
 
 
 def validate_extracted(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -19,6 +20,18 @@ def test_pages(spark):
     assert [tuple(r) for r in P.extract_links(pages).collect()] == [(1, 0, "Job A", "https://a.example/j/1")]
 
 
+def test_large_batches_of_pages_are_cut(spark):
+    """A batch is parsed a few megabytes at a time, and one long page alone; nulls weigh nothing."""
+    html = ["<p>" + "x" * (P.HELD // 4) + "</p>"] * 9 + [None] * 5 + ["<p>" + "y" * (2 * P.HELD) + "</p>", HTML]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "html": html})
+    cut = [b["page_id"].to_pylist() for b in P._few([batch, batch.slice(0, 0)])]
+    assert sum(cut, []) == list(range(len(html))) and max(map(len, cut)) < 9 and [14] in cut
+    pages = spark.createDataFrame([(i, "https://a.example/x", h) for i, h in enumerate(html)], "page_id int, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in P.page_texts(pages).collect()}
+    assert [len(got[i]) for i in range(15)] == [P.HELD // 4] * 9 + [0] * 5 + [2 * P.HELD] and got[15] == "T\nOne\ntwo\nJob\nA\nm\n& end"
+    assert P.extract_links(pages).count() == 1 and P.article_texts(pages).count() == len(html)
+
+
 def test_url_policy(spark):
     want = {"http://8.8.8.8/a#b": "ok", "http://127.0.0.1": "address", "http://999.1.1.1": "address", "http://[::1]/": "address", "http://[2001:4860::1]/": "ok", "http://[::ffff:10.0.0.1]/": "address", "http://metadata.goog/": "blocked", "https://x.internal./": "private", "http://localhost:80": "private", "ftp://a": "scheme", "http:///a": "host", "": "empty", "//a": "scheme"}
     df = spark.createDataFrame([(u,) for u in [*want, None]], "u string")

@@ -1,4 +1,4 @@
-"""Raw pages: readable text, links and the static URL policy. Text and links need an HTML parser, so they run in ``mapInPandas``, a page at a time."""
+"""Raw pages: readable text, links and the static URL policy. Text and links need an HTML parser, so they run in ``mapInArrow``, a page at a time."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -76,15 +79,30 @@ def _linked(html: str | None, base: str) -> str:
     return _lines(out + page.pieces[at:])
 
 
+#: Bytes of pages that are Python texts at once, with what comes of them; one page may be longer.
+HELD = 4 << 20
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``HELD`` bytes of html, as a batch may hold 10,000 pages."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b["html"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < len(b):
+            end = max(start + 1, int(np.searchsorted(ends, before + HELD, "right")))
+            yield b.slice(start, end - start)
+            start, before = end, int(ends[end - 1])
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, text, linked_text (links as ``[label](address)``). A null page has empty texts; blank lines go."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(_lines(_parsed(h).pieces), _linked(h, u or "")) for h, u in zip(pdf["html"], pdf["url"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "text": [r[0] for r in rows], "linked_text": [r[1] for r in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches):
+            rows = [(_lines(_parsed(h.as_py()).pieces), _linked(h.as_py(), u.as_py() or "")) for h, u in zip(b["html"], b["url"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["page_id"], *(pa.array([r[i] for r in rows], pa.string()) for i in (0, 1))], ["page_id", "text", "linked_text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, text string, linked_text string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, text string, linked_text string")
 
 
 # Tags that end a block of text.
@@ -143,24 +161,24 @@ def article(html: str | None) -> str:
 def article_texts(pages: DataFrame) -> DataFrame:
     """page_id, text: the page's article without navigation, advertisements and lists of links; all its text where that leaves under 200 characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "text": [article(h) for h in pdf["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches):
+            yield pa.RecordBatch.from_arrays([b["page_id"], pa.array([article(h.as_py()) for h in b["html"]], pa.string())], ["page_id", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, text string")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """page_id, pos, label, href: the usable links among a page's first 400, in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, h, u in zip(pdf["page_id"], pdf["html"], pdf["url"], strict=True):
-                rows = [(i, k, label, href) for k, (_, _, label, href) in enumerate(_labelled(_parsed(h), u or ""))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["page_id", "pos", "label", "href"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"page_id": pa.int64(), "pos": pa.int64(), "label": pa.string(), "href": pa.string()}
+        for b in _few(batches):
+            pages_of = zip(*(b[c].to_pylist() for c in ("page_id", "html", "url")), strict=True)
+            rows = [(i, k, label, href) for i, h, u in pages_of for k, (_, _, label, href) in enumerate(_labelled(_parsed(h), u or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types.values())], list(types))
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos long, label string, href string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, pos long, label string, href string")
 
 
 @F.pandas_udf(StringType())

@@ -54,6 +54,17 @@ def test_model_answers_are_read_once(spark):
     assert plan.count("parseJson") + plan.count("parse_json") <= 2 and plan.count("from_json") <= 2, plan
 
 
+def test_resolving_holds_shares(spark):
+    """Neither side is broadcast, nor gathered before its spellings are dealt out."""
+    rows = spark.createDataFrame([(i, f"C {i}", f"c-{i}", f" c {i} ") for i in range(40)], "id long, name string, slug string, m string")
+    got = M.resolve_entities(rows.select("id", "m"), rows.select("id", "name", "slug"), "m")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    dealt = plan.split("REPARTITION_BY_NUM")
+    assert len(dealt) == 3 and "HashAggregate" not in dealt[2], plan
+    assert all(r.id == r.company_id for r in got.collect())
+
+
 def test_career_jobs(spark):
     jobs = [("  Data   Engineer ", " Pune  City ", "https://x/1"), ("data engineer", "pune city", "HTTPS://X/2"), ("All", None, "Data"), ("ab", None, None), (None, None, None), ("x" * 201, None, None), ("All", "", "again")]
     df = spark.createDataFrame([(1, jobs, "https://page")], "company_id long, jobs array<struct<title string, location string, url string>>, page_url string")

@@ -21,17 +21,19 @@ def resolve_entities(mentions: DataFrame, companies: DataFrame, col: str) -> Dat
     """The company of each mention by domain, then name in any case, then alias to the letter, then slug; the first that hits, else NULL.
 
     companies: id, name, slug, and canonical_domain and aliases if there. The four spellings of a mention meet those of the companies by kind and key in joins on keys that
-    are unique on one side; the distinct mentions are looked up, then join their rows.
+    are unique on one side; the distinct mentions are looked up, then join their rows. Spellings are mostly distinct, so they are dealt out before they are gathered, and nothing is broadcast: a
+    task holds its share of them only.
     """
+    n = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.expr("CAST(array() AS array<string>)")
     own = lambda c, other: F.col(c) if c in companies.columns else other
     spelt = F.concat(F.array(_keyed(0, own("canonical_domain", F.lit(None))), _keyed(1, F.lower("name")), _keyed(3, F.col("slug"))), F.transform(F.coalesce(own("aliases", none), none), lambda a: _keyed(2, a)))
-    keys = companies.select("id", F.explode(spelt).alias("k")).filter("k.key is not null and k.key != ''").groupBy("k").agg(F.min("id").alias("company_id"))
+    keys = companies.select("id", F.explode(spelt).alias("k")).filter("k.key is not null and k.key != ''").repartition(n, "k").groupBy("k").agg(F.min("id").alias("company_id"))
     t = T.strip(F.col(col))
-    asked = mentions.select(F.col(col)).filter(t != "").distinct()
+    asked = mentions.select(F.col(col)).filter(t != "").repartition(n, col).distinct()
     ways = F.array(_keyed(0, F.nullif(T.normalize_domain(t), F.lit(""))), _keyed(1, F.lower(t)), _keyed(2, t), _keyed(3, T.slugify(t, fold=True)))
-    best = asked.select(F.col(col).alias("__tm_m"), F.explode(ways).alias("k")).join(keys, "k").groupBy("__tm_m").agg(F.min_by("company_id", "k.rank").alias("__tm_c"))
-    return mentions.join(best, F.col(col) == F.col("__tm_m"), "left").select(*[c for c in mentions.columns if c != "company_id"], F.col("__tm_c").alias("company_id"))
+    best = asked.select(F.col(col).alias("__tm_m"), F.explode(ways).alias("k")).join(keys.hint("merge"), "k").groupBy("__tm_m").agg(F.min_by("company_id", "k.rank").alias("__tm_c"))
+    return mentions.join(best.hint("merge"), F.col(col) == F.col("__tm_m"), "left").select(*[c for c in mentions.columns if c != "company_id"], F.col("__tm_c").alias("company_id"))
 
 
 def _keyed(rank: int, key: Column) -> Column:

@@ -83,3 +83,37 @@ def test_stream_scores_touched_companies_only(spark, tmp_path):
     parts = spark.read.parquet(str(tmp_path / "store" / "scores")).groupBy("company_id").count().collect()
     (groww,) = [r for r in W.crawled_events(spark, str(tmp_path / "store")).collect() if r.company_id == 9]
     assert len(scores) == 2 and sum(r["count"] for r in parts) == 3 and sorted(scores.values()) == [16, 17] and groww.source_count == 2
+
+
+def test_batch_is_read_twice_and_names_are_searched_only_for_loose_fetches(spark, tmp_path, monkeypatch):
+    """Keys and fetches are one pass each, events are made once, and where all have a company the spellings are not touched."""
+    rows = [(i, 7 + i % 2, "news_site", 1_700_000_000 + i * 30_000, f"u{i % 3}", f"x\nkind=new_office city=pune{i % 3}" + TEXT) for i in range(40)]
+    companies, as_of = spark.createDataFrame(NAMES, "id long, name string, aliases array<string>"), F.lit("2024-02-01").cast("timestamp")
+    read, made, searched = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), []
+
+    def counted(df, n):
+        def run(batches):
+            for pdf in batches:
+                n.add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(run, df.schema)
+
+    find = W.M.find_mentions
+    monkeypatch.setattr(W.M, "find_mentions", lambda *a: searched.append(1) or find(*a))
+    for number, part in enumerate((rows[:30], rows[30:])):
+        W.crawl_batch(counted(fetches(spark, part), read), number, str(tmp_path / "store"), lambda docs: counted(events_of(docs), made), companies, as_of)
+    assert (read.value, made.value, searched) == (2 * len(rows), len(rows), [])
+    loose = [(41, None, *rows[0][2:5], "Groww " + rows[0][5]), (42, *rows[1][1:])]
+    W.crawl_batch(fetches(spark, loose), 2, str(tmp_path / "store"), events_of, companies, as_of)
+    assert searched == [1, 1] and {r.company_id for r in spark.read.parquet(str(tmp_path / "store" / "reports")).collect()} == {7, 8, 9}
+
+
+def test_scored_events_are_the_canonical_ones(spark):
+    """Sources and best tier without lists, reports without a URL included."""
+    urls = [None, "https://blog.example.com/x", "https://techcrunch.com/1", "https://techcrunch.com/1", "https://newsapi.org/2"]
+    rows = [(i, i // 4 * 4, 7, "funding", "t", urls[i % 5], 0) for i in range(24)] + [(90, 90, 8, "funding", "t", None, 0)]
+    df = spark.createDataFrame(rows, "event_id long, canonical_id long, company_id long, event_type string, title string, source_url string, batch int").withColumn("observed_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    got = {r.canonical_id: (r.source_count, r.factor) for r in W.scored_events(df).collect()}
+    want = {r.id: (r.source_count, r.factor) for r in W.C.with_factor(W.canonical_events(df)).collect()}
+    assert got == want and got[90] == (1, 0.3) and len({f for _, f in got.values()}) > 1

@@ -90,3 +90,14 @@ def test_order_and_empty(spark):
     df = frame(spark, rows).withColumn("batch", F.when(F.col("id") == 5, 0).otherwise(1))
     assert {r.id: r.canonical_id for r in D.dedup_events(df, order=("batch", "id")).collect()} == {5: 5, 2: 5}
     assert D.dedup_events(df.limit(0)).collect() == []
+
+
+def test_reports_are_read_once(spark):
+    df, read = frame(spark, reports(4, 300)), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    assert {r.id: r.canonical_id for r in D.dedup_events(df.mapInPandas(run, df.schema)).collect()} == brute(spark, df) and read.value == 300

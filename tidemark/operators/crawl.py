@@ -21,11 +21,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 from tidemark.operators import dedup as D
 from tidemark.operators import mentions as M
 from tidemark.operators import scores as C
-from tidemark.sources.steps import settle
+from tidemark.sources.steps import discard, settle
 
 HASHES = "source_id long, fetched_at timestamp, content_hash string"
 
@@ -53,9 +54,18 @@ def changed_fetches(batch: DataFrame, last: DataFrame) -> DataFrame:
     return rows.filter(~F.col("content_hash").eqNullSafe(F.coalesce("__tm_before", "__tm_last"))).drop("__tm_before", "__tm_last")
 
 
+def fit_fetches(changed: DataFrame) -> DataFrame:
+    """Those that pass the relevance filter."""
+    return changed.filter(T.passes(T.prefilter(F.col("text"), F.col("source_type"))))
+
+
 def relevant_fetches(changed: DataFrame, companies: DataFrame) -> DataFrame:
     """Those that pass the relevance filter and, where no company is attached, name a tracked company somewhere."""
-    fit = changed.filter(T.passes(T.prefilter(F.col("text"), F.col("source_type"))))
+    return attributable(fit_fetches(changed), companies)
+
+
+def attributable(fit: DataFrame, companies: DataFrame) -> DataFrame:
+    """Fetches that have a company attached or name a tracked one somewhere."""
     fit = fit.withColumn("__tm_doc", F.xxhash64("source_id", "fetched_at", "content_hash"))
     loose = fit.filter("company_id IS NULL").select(F.col("__tm_doc").alias("doc_id"), "text")
     named = M.find_mentions(loose, companies).select(F.col("doc_id").alias("__tm_doc")).distinct()
@@ -63,16 +73,16 @@ def relevant_fetches(changed: DataFrame, companies: DataFrame) -> DataFrame:
     return own.unionByName(fit.filter("company_id IS NULL").join(named, "__tm_doc", "left_semi")).drop("__tm_doc")
 
 
-def resolved(events: DataFrame, stored: DataFrame, number: int, days: int) -> DataFrame:
-    """The batch's events with canonical_id, held against stored leaders of their company and type within ``days`` of the batch."""
+def resolved(events: DataFrame, stored: DataFrame, number: int, days: int) -> tuple[DataFrame, str]:
+    """The batch's events with canonical_id, held against stored leaders of their company and type within ``days`` of the batch; and the path of a table they are read from, for ``discard``."""
     when = F.coalesce("occurred_at", "observed_at") if "occurred_at" in events.columns else F.col("observed_at")
     span = F.expr(f"INTERVAL {days} DAYS")
     reach = events.groupBy("company_id", "event_type").agg((F.min(when) - span).alias("__tm_from"), (F.max(when) + span).alias("__tm_to"))
     leaders = stored.filter(F.col("canonical_id") == F.col("event_id")).withColumn("__tm_when", when).join(reach, ["company_id", "event_type"])
     leaders = leaders.filter(F.col("__tm_when").between(F.col("__tm_from"), F.col("__tm_to"))).select(*events.columns, "batch")
     both = leaders.unionByName(events.withColumn("batch", F.lit(number))).withColumnRenamed("event_id", "id")
-    found = D.dedup_events(both, days, order=("batch", "id")).select(F.col("id").alias("event_id"), "canonical_id")
-    return events.join(found, "event_id")
+    found, facts_at = D.deduped(both, days, order=("batch", "id"))
+    return events.join(found.select(F.col("id").alias("event_id"), "canonical_id"), "event_id"), facts_at
 
 
 def canonical_events(reports: DataFrame) -> DataFrame:
@@ -91,29 +101,46 @@ def canonical_events(reports: DataFrame) -> DataFrame:
     return lead.join(gathered.withColumnRenamed("canonical_id", "id"), "id")
 
 
+def scored_events(reports: DataFrame) -> DataFrame:
+    """What scores take of ``canonical_events``: company_id, event_type, times, source_count and factor, that of the best tier among the URLs; nothing is gathered in lists."""
+    factor = F.max(S.tier_factor(S.source_tier(F.col("source_url")))).alias("factor")
+    gathered = reports.select("canonical_id", "source_url").distinct().groupBy("canonical_id").agg(F.count("*").alias("source_count"), factor)
+    occurred = F.col("occurred_at") if "occurred_at" in reports.columns else F.lit(None).cast("timestamp")
+    lead = reports.filter(F.col("canonical_id") == F.col("event_id")).select("canonical_id", "company_id", "event_type", "observed_at", occurred.alias("occurred_at"))
+    return lead.join(gathered, "canonical_id")
+
+
 def company_scores(events: DataFrame, companies: DataFrame, as_of: Column) -> DataFrame:
-    """Scores of the given companies from their canonical events, each by the best tier of its evidence."""
+    """Scores of the given companies from their ``canonical_events`` or ``scored_events``, each by the best tier of its evidence."""
     rows = C.momentum_scores(events, companies, as_of)
     return rows.select("company_id", as_of.cast("timestamp").alias("scored_at"), "momentum_score", "momentum_label", "signal_strength", "n_events")
 
 
 def crawl_batch(batch: DataFrame, number: int, store: str, events_of: Callable[[DataFrame], DataFrame], companies: DataFrame, as_of: Column, days: int = 14) -> None:
     """One batch through the whole pipeline; see ``run_crawl``."""
-    spark = batch.sparkSession
-    hashes = parts_before(spark, store, "hashes", number, HASHES).join(batch.select("source_id").distinct(), "source_id", "left_semi")
-    last = hashes.groupBy("source_id").agg(F.max_by("content_hash", F.struct("batch", "fetched_at")).alias("content_hash"))
+    spark, loose = batch.sparkSession, F.col("company_id").isNull()
     hashed = batch.select("source_id", "fetched_at", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
     newest = hashed.groupBy("source_id").agg(F.max(F.struct("fetched_at", "content_hash")).alias("r")).select("source_id", "r.*")
-    # the events of a batch are read several times and come from a model: they are made once
-    events, _ = settle(M.route_events(events_of(relevant_fetches(changed_fetches(batch, last), companies)), companies), "events")
+    write_part(newest, store, "hashes", number)
+    came = spark.read.schema(HASHES).parquet(f"{store}/hashes/batch={number}").select("source_id")
+    hashes = parts_before(spark, store, "hashes", number, HASHES).join(came, "source_id", "left_semi")
+    last = hashes.groupBy("source_id").agg(F.max_by("content_hash", F.struct("batch", "fetched_at")).alias("content_hash"))
+    # documents and events are read several times, and events come from a model: both are made once. Names are searched only if something has no company
+    fit, fit_at = settle(fit_fetches(changed_fetches(batch, last)), "fetches")
+    docs = fit if fit.filter(loose).isEmpty() else attributable(fit, companies)
+    events, *made = settle(events_of(docs), "events")
+    if not events.filter(loose).isEmpty():
+        events, routed_at = settle(M.route_events(events, companies), "routed")
+        made.append(routed_at)
     stored = parts_before(spark, store, "reports", number, events.withColumn("canonical_id", F.lit(0).cast("long")).schema)
-    write_part(resolved(events, stored, number, days), store, "reports", number)
+    reports, facts_at = resolved(events, stored, number, days)
+    write_part(reports, store, "reports", number)
+    discard(spark, fit_at, *made, facts_at)
     now = spark.read.parquet(f"{store}/reports/batch={number}").withColumn("batch", F.lit(number))
     touched = now.select("company_id").distinct()
     of_touched = stored.join(touched, "company_id", "left_semi").unionByName(now)
-    scored = company_scores(canonical_events(of_touched), companies.join(touched.withColumnRenamed("company_id", "id"), "id", "left_semi"), as_of)
+    scored = company_scores(scored_events(of_touched), companies.join(touched.withColumnRenamed("company_id", "id"), "id", "left_semi"), as_of)
     write_part(scored, store, "scores", number)
-    write_part(newest, store, "hashes", number)
 
 
 def run_crawl(fetches: DataFrame, store: str, events_of: Callable[[DataFrame], DataFrame], companies: DataFrame, checkpoint: str, as_of: Column | Callable[[int], Column], days: int = 14) -> StreamingQuery:

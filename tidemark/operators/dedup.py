@@ -76,33 +76,45 @@ def dedup_events(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OV
     Rounds, amounts, persons, roles, cities and targets decide where the type has them (``extraction.same_event``), titles otherwise; a report's time is occurred_at,
     if there, else observed_at. ``order`` names the columns that reports came in by. Reports that no other can match (no person, city, target or title word) lead without a search.
     """
+    return deduped(reports, days, overlap, order)[0]
+
+
+def deduped(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OVERLAP, order: tuple[str, ...] = ("id",)) -> tuple[DataFrame, str]:
+    """``dedup_events``, and the path of the table it is read from, for ``discard``.
+
+    The reports with their facts are written there once: topics, chains and the search itself read them, and would each make them anew.
+    """
     span, kind = days * DAY, F.coalesce("event_type", F.lit(""))
     when = F.coalesce("occurred_at", "observed_at") if "occurred_at" in reports.columns else F.col("observed_at")
     arrival = F.struct(*order).alias("came")
     scope = F.to_json(F.struct("company_id", "event_type")).alias("scope")
-    rows = reports.select("id", kind.alias("kind"), scope, F.unix_micros(when.cast("timestamp")).alias("t"), arrival, *E.facts(reports))
-    keyed = F.lit(None).cast("string")
+    fact, titled = dict(zip(E.FACT_COLUMNS, E.facts(reports), strict=True)), ~kind.isin(*TOPIC_OF)
+    topic = F.lit(None).cast("string")
     for name, column in TOPIC_OF.items():
-        keyed = F.when(F.col("kind") == name, F.col(column) if name == "funding" else F.nullif(F.col(column), F.lit(""))).otherwise(keyed)
-    titled = ~F.col("kind").isin(*TOPIC_OF)
-    sig = F.when(titled, F.nullif(F.array_join(F.array_sort("f_tokens"), " "), F.lit("")))
-    rows = rows.withColumns({"topic": keyed, "sig": sig, "t": F.coalesce("t", F.lit(0))})
-    alone = rows.filter(F.col("topic").isNull() & F.col("sig").isNull()).select("id", F.col("id").alias("canonical_id"))
-    by_key = rows.filter(F.col("topic").isNotNull()).drop("sig")
-    titles = rows.filter(F.col("sig").isNotNull()).drop("topic")
+        topic = F.when(kind == name, fact[column] if name == "funding" else F.nullif(fact[column], F.lit(""))).otherwise(topic)
+    # what else decides, by type; of one chain all share the topic
+    words = F.when(titled, F.array_join(F.array_sort(fact["f_tokens"]), " ")).when(kind == "leadership_change", F.array_join(fact["f_role"], " "))
+    decide = [topic.alias("topic"), F.nullif(words, F.lit("")).alias("words"), F.when(kind == "funding", fact["f_amount"]).alias("amount")]
+    moment = F.coalesce(F.unix_micros(when.cast("timestamp")), F.lit(0)).alias("t")
+    rows, rows_at = settle(reports.select("id", kind.alias("kind"), scope, moment, arrival, *decide), "facts")
+    by_key, free = rows.filter(F.col("topic").isNotNull()), rows.filter(F.col("topic").isNull())
+    told = ~F.col("kind").isin(*TOPIC_OF) & F.col("words").isNotNull()
+    alone = free.filter(~told).select("id", F.col("id").alias("canonical_id"))
+    titles = free.filter(told).drop("topic").withColumn("sig", F.col("words"))
     topics = title_topics(titles.select("scope", "sig").distinct(), overlap).withColumn("topic", F.col("topic").cast("string"))
     by_title = titles.join(topics, ["scope", "sig"]).select(*by_key.columns)
-    keys = ["scope", "topic", "chain"]
+    keys, held = ["scope", "topic", "chain"], ["kind", "id", "t", "words", "amount"]
     dealt = chains(by_key.unionByName(by_title), ["scope", "topic"], "t", span).repartition(*keys).sortWithinPartitions(*keys, "came")
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, leaders, n = None, {}, 0
         for pdf in batches:
-            out, facts = [], zip(*(pdf[c] for c in E.FACT_COLUMNS), strict=True)
-            for key, kind, i, at, f in zip(zip(*(pdf[c] for c in keys), strict=True), pdf["kind"], pdf["id"], pdf["t"], facts, strict=True):
+            out = []
+            for key, kind, i, at, words, amount in zip(zip(*(pdf[c] for c in keys), strict=True), *(pdf[c] for c in held), strict=True):
                 if key != chain:
                     chain, leaders, n = key, {}, 0
-                own, cell = as_facts(f), at // span
+                said = words.split(" ") if words else ()
+                own, cell = as_facts((said, key[1], amount, key[1], said, key[1], key[1])), at // span
                 near = (x for c in (cell - 1, cell, cell + 1) for x in leaders.get(c, ()))
                 same = [(rank, j) for rank, j, bt, other in near if abs(at - bt) <= span and E.same_facts(kind, own, other, overlap)]
                 out.append(min(same)[1] if same else i)
@@ -111,5 +123,5 @@ def dedup_events(reports: DataFrame, days: int = 14, overlap: float = E.TITLE_OV
                     n += 1
             yield pd.DataFrame({"id": pdf["id"], "canonical_id": out})
 
-    found = dealt.select(*keys, "kind", "id", "t", "came", *E.FACT_COLUMNS).mapInPandas(lead, "id long, canonical_id long")
-    return found.unionByName(alone)
+    found = dealt.select(*keys, *held).mapInPandas(lead, "id long, canonical_id long")
+    return found.unionByName(alone), rows_at

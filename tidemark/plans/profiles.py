@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tidemark.plans.queries import _LED, _MOVES, _SCORE, _SERIES, _TIER, _TOP_PU
 from tidemark.sources import adapters as A
 from tidemark.sources import entities as N
 from tidemark.sources import feeds as V
-from tidemark.sources.steps import new_path
+from tidemark.sources.steps import discard, new_path, settle
 
 _30 = f"TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY"
 _PROFILE = """pt AS (SELECT company_id, string_agg(round(momentum_score, 4) || ':' || momentum_label, ';' ORDER BY scored_at) AS score_history FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY scored_at DESC) AS p FROM sc) WHERE p <= 10 GROUP BY 1),
@@ -89,20 +91,23 @@ _CRAWLED = f"""{_LED.replace("ORDER BY id", f"ORDER BY {_BATCH}, id")},
 @query(sql("co", "ev", "rp", _CRAWLED, body=f"SELECT company_id, round({_SCORE}, 6) AS momentum_score, n_events FROM cr JOIN co ON co.id = company_id").replace("WITH", "WITH RECURSIVE", 1))
 def crawl_scores(spark: SparkSession, d: str) -> DataFrame:
     """Three batches of fetches, one for each report, through the incremental crawl: the scores that its tables end with."""
-    reports = A.reports(spark, d)
     text = F.lit("Our company is hiring engineers for a new office in a city far away and raised a series a round of funding led by investors.")
     batch = F.when(F.col("observed_at") < at("2024-01-10"), 0).when(F.col("observed_at") < at("2024-01-20"), 1).otherwise(2)
-    fetches = reports.select(
-        F.col("id").alias("source_id"), "company_id", F.lit("news_site").alias("source_type"), F.col("observed_at").cast("timestamp").alias("fetched_at"), F.col("source_url").alias("url"), text.alias("text"), batch.alias("b"),
-    )
-    extracted = reports.drop("company_id", "k").withColumnRenamed("id", "event_id").withColumn("context", F.lit(""))
+    # each batch reads its reports more than once, so they are made once
+    reports, reports_at = settle(A.reports(spark, d).withColumn("b", batch), "reports")
+    store, companies = new_path(spark, "crawl"), A.profiles(spark, d)
 
-    def events_of(docs: DataFrame) -> DataFrame:
+    def events_of(extracted: DataFrame, docs: DataFrame) -> DataFrame:
         return docs.select(F.col("source_id").alias("event_id"), "company_id").join(extracted, "event_id")
 
-    store, companies = new_path(spark, "crawl"), A.profiles(spark, d)
     for number in range(3):
-        W.crawl_batch(fetches.filter(F.col("b") == number).drop("b"), number, store, events_of, companies, at(AS_OF))
+        own = reports.filter(F.col("b") == number)
+        fetches = own.select(
+            F.col("id").alias("source_id"), "company_id", F.lit("news_site").alias("source_type"), F.col("observed_at").cast("timestamp").alias("fetched_at"), F.col("source_url").alias("url"), text.alias("text"),
+        )
+        extracted = own.drop("company_id", "k", "b").withColumnRenamed("id", "event_id").withColumn("context", F.lit(""))
+        W.crawl_batch(fetches, number, store, partial(events_of, extracted), companies, at(AS_OF))
+    discard(spark, reports_at)
     return W.crawled_scores(spark, store).select("company_id", F.round("momentum_score", 6).alias("momentum_score"), "n_events")
 
 

@@ -7,6 +7,7 @@ import string
 
 import pytest
 
+from tidemark.llm import queries
 from tidemark.llm import surrogates as S
 
 SCHEMA = "doc_id long, text string, n_entities string"
@@ -199,3 +200,21 @@ def test_key_outside_local_mode(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="surrogates.key"):
         S.session_key(Far)
+
+
+def test_query_on_a_cluster_without_a_key(spark, monkeypatch, tmp_path):
+    """The registered query runs on any master: one key is drawn for all its runs, not that of tests; a key that is set counts."""
+    rows = [(1, "mail jo.doe@x.com, call +1 (212) 555-0187", "en", "s", 1), (2, "jo.doe@x.com", "en", "s", 1), (3, None, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(f"{tmp_path}/shared")
+    run = lambda: {r.doc_id: r.text for r in queries.op4_pii_surrogates(spark, str(tmp_path)).collect()}
+    tests = run()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    drawn = run()
+    assert drawn == run() and drawn[3] is None and drawn[2] in drawn[1] and len({drawn[2], tests[2], "jo.doe@x.com"}) == 3
+    spark.conf.set(S.KEY_CONF, "a key")
+    try:
+        assert run()[1] == replaced(rows[0][1], b"a key")
+    finally:
+        spark.conf.unset(S.KEY_CONF)

@@ -27,7 +27,8 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
+    rows = surrogates.replace(documents(spark, sf_dir), surrogates.application_key(spark))
+    return rows.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ another occurring entity's, yet still nobody else's surrogate. Nothing is drawn
 further than one step reach the texts in a broadcast table of up to ``BROADCAST`` rows, else by a join on the documents that mention them.
 
 The key is an argument, else the session's ``spark.tidemark.surrogates.key``; a local master may do without, with a constant fit for tests only.
+The registered query, which must run with no settings of its own, takes ``application_key``: on a cluster without a key one is drawn.
 Formats never overlap: the classes of characters that stand for each other partition each block of letters, a format's name holds all of them, padded octets of addresses
 stay padded, and hexadecimal secrets are a format apart from other secrets, which are walked past hexadecimal values.
 
@@ -34,10 +35,11 @@ import hashlib
 import ipaddress
 import math
 import re
+import secrets
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import cache, lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -457,6 +459,19 @@ def session_key(spark: SparkSession) -> bytes:
     return key.encode() if key is not None else TEST_KEY
 
 
+@cache
+def _drawn_key() -> bytes:
+    """One key for all calls of this driver process; it is written nowhere."""
+    return secrets.token_bytes(32)
+
+
+def application_key(spark: SparkSession) -> bytes:
+    """As ``session_key``, but outside local mode without a key one is drawn: nobody can undo the replacement, and another application's surrogates differ."""
+    if spark.conf.get(KEY_CONF, None) is None and not spark.sparkContext.master.startswith("local"):
+        return _drawn_key()
+    return session_key(spark)
+
+
 def replace(docs: DataFrame, key: bytes | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """The documents' columns with text rewritten, and n_entities, entity_kinds (array, in order of occurrence)."""
     key = session_key(docs.sparkSession) if key is None else key

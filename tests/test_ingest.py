@@ -32,6 +32,17 @@ def test_large_batches_of_pages_are_cut(spark):
     assert P.extract_links(pages).count() == 1 and P.article_texts(pages).count() == len(html)
 
 
+def test_every_link_of_a_page_counts(spark):
+    """A list of links is read to its end, with links that are not usable among them."""
+    html = "".join(f'<li><a href="/j/{i}">Job <b>{i}</b></a> in City {i}<a href="#top">top</a></li>' for i in range(2_000))
+    pages = spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")
+    want = [(i, f"Job {i}", f"https://a.example/j/{i}") for i in range(2_000)]
+    linked = P.page_texts(pages).first().linked_text.split("\n")
+    # an address that is only a fragment is absolute by then
+    assert [x for x in linked if "/j/" in x] == [f"[{label}]({href})" for _, label, href in want]
+    assert [(r.label, r.href) for r in P.extract_links(pages).collect() if "/j/" in r.href] == [x[1:] for x in want]
+
+
 def test_url_policy(spark):
     want = {"http://8.8.8.8/a#b": "ok", "http://127.0.0.1": "address", "http://999.1.1.1": "address", "http://[::1]/": "address", "http://[2001:4860::1]/": "ok", "http://[::ffff:10.0.0.1]/": "address", "http://metadata.goog/": "blocked", "https://x.internal./": "private", "http://localhost:80": "private", "ftp://a": "scheme", "http:///a": "host", "": "empty", "//a": "scheme"}
     df = spark.createDataFrame([(u,) for u in [*want, None]], "u string")

@@ -22,7 +22,6 @@ NO_LINK = ("javascript:", "mailto:", "#")
 BLOCKED_HOSTS = ("metadata.google.internal", "metadata.goog", "instance-data")
 BLOCKED_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4")
 BLOCKED_V6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")
-MAX_LINKS = 400
 
 
 class _Page(HTMLParser):
@@ -67,7 +66,7 @@ def _lines(pieces: list[str]) -> str:
 
 def _labelled(page: _Page, base: str) -> list[tuple[int, int, str, str]]:
     """First piece, piece after the last, label and absolute address of each usable link."""
-    found = ((a, b, " ".join(" ".join(page.pieces[a:b]).split()), urljoin(base, href)) for href, a, b in page.links[:MAX_LINKS])
+    found = ((a, b, " ".join(" ".join(page.pieces[a:b]).split()), urljoin(base, href)) for href, a, b in page.links)
     return [x for x in found if x[2] and not x[3].lower().startswith(NO_LINK)]
 
 
@@ -95,7 +94,7 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, text, linked_text (links as ``[label](address)``). A null page has empty texts; blank lines go."""
+    """page_id, text, linked_text (every usable link as ``[label](address)``). A null page has empty texts; blank lines go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
@@ -169,7 +168,7 @@ def article_texts(pages: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, label, href: the usable links among a page's first 400, in order."""
+    """page_id, pos, label, href: a page's usable links, in order, however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"page_id": pa.int64(), "pos": pa.int64(), "label": pa.string(), "href": pa.string()}

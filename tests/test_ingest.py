@@ -43,6 +43,14 @@ def test_every_link_of_a_page_counts(spark):
     assert [(r.label, r.href) for r in P.extract_links(pages).collect() if "/j/" in r.href] == [x[1:] for x in want]
 
 
+def test_malformed_addresses_are_no_links(spark):
+    html = '<a href="/a">A</a>' * 401 + '<a href="http://[x">B</a><a href="/c">C</a>'
+    pages = spark.createDataFrame([(1, "https://a.example/x", html), (2, "http://[y", '<a href="/d">D</a>')], "page_id long, url string, html string")
+    got = {r.page_id: r.linked_text.split("\n") for r in P.page_texts(pages).collect()}
+    assert got[1][-2:] == ["B", "[C](https://a.example/c)"] and len(got[1]) == 403 and got[2] == ["D"]
+    assert P.extract_links(pages).count() == 402
+
+
 def test_url_policy(spark):
     want = {"http://8.8.8.8/a#b": "ok", "http://127.0.0.1": "address", "http://999.1.1.1": "address", "http://[::1]/": "address", "http://[2001:4860::1]/": "ok", "http://[::ffff:10.0.0.1]/": "address", "http://metadata.goog/": "blocked", "https://x.internal./": "private", "http://localhost:80": "private", "ftp://a": "scheme", "http:///a": "host", "": "empty", "//a": "scheme"}
     df = spark.createDataFrame([(u,) for u in [*want, None]], "u string")

@@ -64,10 +64,18 @@ def _lines(pieces: list[str]) -> str:
     return "\n".join(line for piece in pieces for raw in piece.split("\n") if (line := raw.strip()))
 
 
+def _absolute(base: str, href: str) -> str | None:
+    """None for a malformed address, which leads nowhere."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def _labelled(page: _Page, base: str) -> list[tuple[int, int, str, str]]:
     """First piece, piece after the last, label and absolute address of each usable link."""
-    found = ((a, b, " ".join(" ".join(page.pieces[a:b]).split()), urljoin(base, href)) for href, a, b in page.links)
-    return [x for x in found if x[2] and not x[3].lower().startswith(NO_LINK)]
+    found = ((a, b, " ".join(" ".join(page.pieces[a:b]).split()), _absolute(base, href)) for href, a, b in page.links)
+    return [x for x in found if x[2] and x[3] is not None and not x[3].lower().startswith(NO_LINK)]
 
 
 def _linked(html: str | None, base: str) -> str:
